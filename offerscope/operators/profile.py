@@ -236,11 +236,14 @@ def coverage_counters(offers: DataFrame) -> DataFrame:
     )
 
 
-def low_coverage(counters: DataFrame, records: DataFrame, seed_count: int) -> DataFrame:
-    """Flags retailers whose run should be retried."""
-    return counters.join(records, "retailer", "left").withColumn(
-        "retry", F.coalesce(F.col("n") == 0, F.lit(True)) | (F.col("n_keys") < F.lit(seed_count) * 0.5)
-    )
+def low_coverage(
+    counters: DataFrame, seed_count: int, watched: list[str], needs_financing: list[str]
+) -> DataFrame:
+    """Flags watched retailers covering under half the seeds, or lacking financing where expected."""
+    few = F.col("n_keys") < max(1, seed_count // 2)
+    no_plan = F.col("retailer").isin(*needs_financing) & (F.col("n_financing_max_term") == 0)
+    retry = F.col("retailer").isin(*watched, *needs_financing) & (few | no_plan)
+    return counters.select("retailer", "n_keys", "n_financing_max_term", retry.alias("retry"))
 
 
 def most_frequent(offers: DataFrame, column: str = "brand") -> DataFrame:

@@ -142,9 +142,11 @@ def a21_missing_list(o):
     return R.missing_list(o, "Amazon")
 
 
+WATCHED = ["Amazon", "Grover", "Rentik", "Orange"]
+
+
 def low_cov(o):
-    rows = o.groupBy("retailer").agg(F.count("*").alias("n"))
-    return R.low_coverage(R.coverage_counters(o), rows, 400).select("retailer", "n_keys", "n", "retry")
+    return R.low_coverage(R.coverage_counters(o), 600, WATCHED, ["Media Markt"])
 
 
 COUNTERS = ", ".join(
@@ -330,6 +332,8 @@ WHERE NOT ({ISBASE}) AND price_value IS NOT NULL GROUP BY retailer"""),
  FROM latest"""),
     "q2_audit": audit_sql(False),
     "q2_audit_ignoring_term": audit_sql(True),
-    "q7_low_coverage": over_offers("""SELECT retailer, count(DISTINCT (device_type, model, capacity_gb)) AS n_keys,
- count(*) AS n, count(DISTINCT (device_type, model, capacity_gb)) < 200 AS retry FROM offers GROUP BY retailer"""),
+    "q7_low_coverage": over_offers(f"""SELECT *, retailer IN ('Amazon', 'Grover', 'Rentik', 'Orange', 'Media Markt')
+ AND (n_keys < 300 OR (retailer = 'Media Markt' AND n_financing_max_term = 0)) AS retry FROM (SELECT retailer,
+ count(DISTINCT (device_type, model, capacity_gb)) AS n_keys, count(DISTINCT (device_type, model, capacity_gb))
+ FILTER (offer_type = 'financing_max_term') AS n_financing_max_term FROM offers GROUP BY retailer)"""),
 }
