@@ -144,10 +144,11 @@ GRAM = 8
 def longest_contained(questions: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """The longest name found inside each question's normalized text; null when none is.
 
-    A contained name has its last characters inside the text, so both sides meet in an equi join on
+    ``names`` holds the candidate names in its only column. A contained name has its last characters inside the text, so both sides meet in an equi join on
     that ending (at most eight characters) and containment is checked on the meeting pairs only.
     """
-    n = names.select(F.col(name).alias("_name"), normalize_text(F.col(name)).alias("_norm")).distinct()
+    label = F.col(names.columns[0])
+    n = names.select(label.alias("_name"), normalize_text(label).alias("_norm")).distinct()
     n = n.where("_norm <> ''").withColumn("_gram", F.right("_norm", F.lit(GRAM)))
     starts = F.sequence(F.lit(1), F.greatest(F.length("_q"), F.lit(1)))
     sizes = F.array(*[F.lit(s) for s in range(1, GRAM + 1)])
