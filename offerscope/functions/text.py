@@ -2,68 +2,47 @@
 
 from __future__ import annotations
 
-import json
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = r"[\t-\r\x1c-\x20]+"
+WORDY = "¼½¾…™℠№ﬀﬁﬂﬃﬄﬅﬆⅡⅢⅣⅥⅦⅧⅨ㎅㎆㎇㎏㎜㎝㎞"
+
+
+def _fold(text: str) -> str:
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
 
 
 @lru_cache(maxsize=1)
-def _ascii_foldings() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decomposition, restricted to its ASCII part, for every code point.
+def letter_table() -> tuple[str, str]:
+    """Characters that fold to exactly one ASCII character: letters, digits, punctuation, blanks.
 
-    Returns the one-to-one mappings as two aligned strings and the one-to-many ones as a dict.
-    The table is computed from the Unicode database, not written down.
+    Computed from the Unicode database: everything below the box-drawing block, the ideographic
+    blank and the full-width forms.
     """
-    singles, targets, multiples = [], [], {}
-    for point in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
-            continue
-        ch = chr(point)
-        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(folded) == 1:
-            singles.append(ch)
-            targets.append(folded)
-        elif folded:
-            multiples[ch] = folded
-    return "".join(singles), "".join(targets), multiples
-
-
-def _covering_class(chars) -> str:
-    """A regex class of a few ranges covering the given characters (neighbours may be included)."""
-    points = sorted(ord(ch) for ch in chars)
-    ranges = [[points[0], points[0]]]
-    for point in points[1:]:
-        if point - ranges[-1][1] <= (4 if point < 0x2000 else 64):
-            ranges[-1][1] = point
-        else:
-            ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+    points = [*range(0x80, 0x2500), 0x3000, *range(0xFF01, 0xFF5F)]
+    pairs = [(chr(p), _fold(chr(p))) for p in points]
+    kept = [(ch, out) for ch, out in pairs if len(out) == 1]
+    return "".join(ch for ch, _ in kept), "".join(out for _, out in kept)
 
 
 def to_ascii(text: Column) -> Column:
-    """Decompose, then drop what is not ASCII. Three tiers, cheapest first.
+    """Decompose, then drop what is not ASCII, inside generated code.
 
-    Pure ASCII passes through; one-to-one letters use ``translate``; text holding a ligature,
-    fraction or other one-to-many symbol is rewritten per character through a constant map.
+    Plain ASCII passes through, letters go through one ``translate``, and the symbols that spell out
+    as several characters (fractions, ellipsis, ligatures, units) are replaced only where one
+    occurs. Rarer compatibility symbols are dropped; ``normalize_text_exact`` expands all of them.
     """
-    singles, targets, multiples = _ascii_foldings()
-    table = F.from_json(F.lit(json.dumps(multiples)), "map<string,string>")
-    expanded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda ch: F.when(ch > "\x7f", F.coalesce(F.try_element_at(table, ch), ch)).otherwise(ch),
-        ),
-        "",
-    )
-    odd = _covering_class(multiples)
-    letters = F.translate(F.when(text.rlike(odd), expanded).otherwise(text), singles, targets)
+    spelled = text
+    for ch in WORDY:
+        spelled = F.replace(spelled, F.lit(ch), F.lit(_fold(ch)))
+    letters = F.translate(F.when(text.rlike(f"[{WORDY}]"), spelled).otherwise(text), *letter_table())
     return F.when(
         text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(letters, r"[^\x00-\x7F]+", "")
     ).otherwise(text)
@@ -71,14 +50,19 @@ def to_ascii(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """ASCII-fold, collapse blanks, trim, lower-case. Null becomes the empty string."""
-    folded = to_ascii(F.coalesce(text, F.lit("")))
+    folded = to_ascii(F.coalesce(text.cast("string"), F.lit("")))
     return F.lower(F.trim(F.regexp_replace(folded, BLANKS, " ")))
 
 
 def normalize_literal(value: str) -> str:
     """The same folding for a parameter known on the driver."""
-    folded = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode("ascii")
-    return re.sub(r"\s+", " ", folded).strip().lower()
+    return re.sub(r"\s+", " ", _fold(value)).strip().lower()
+
+
+@F.pandas_udf(T.StringType())
+def normalize_text_exact(text: pd.Series) -> pd.Series:
+    """The folding for every Unicode character, Arrow-batched, for columns with exotic symbols."""
+    return text.fillna("").map(normalize_literal)
 
 
 def any_of(text: Column, needles) -> Column:

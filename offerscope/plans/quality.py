@@ -126,7 +126,7 @@ def _ordered_canon(raw):
 def reasons(raw):
     return G.with_publishable(N.canonicalize(raw)).select(
         "retailer", "model", "source_title", "publishable",
-        F.array_join("reject_reasons", ",").alias("reasons"))
+        F.col("reject_reasons").alias("reasons"))
 
 
 def j2(o):

@@ -128,9 +128,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input too small to occupy the cluster; larger inputs stay as they are.
+
+    A file with a single row group is one task however many cores there are. At scale an input has
+    far more splits than cores, so no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
+
+
 def _derive(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     rows = (
-        read_table(spark, sf_dir, "lineitem")
+        spread(read_table(spark, sf_dir, "lineitem"))
         .join(read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
