@@ -1,2 +1,239 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries on product matching and grouping."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from offerscope.operators import features as X
+from offerscope.operators import grouping as G
+from offerscope.operators import matching as M
+from offerscope.plans.sqltext import norm, over_offers, r2
+from offerscope.sources.tables import offers, read_table, spread
+
+VARIANT = "CASE p_partkey % 6 WHEN 0 THEN ' Ultra' WHEN 1 THEN '+' WHEN 2 THEN ' FE' WHEN 3 THEN ' Pro Max' ELSE '' END"
+TARGET = f"CASE WHEN p_partkey % 4 = 0 THEN 'Apple MacBook Air M' || CAST(p_partkey % 5 + 1 AS STRING) || ' ' || CAST(p_partkey AS STRING) ELSE 'Samsung Galaxy S' || CAST(p_partkey AS STRING) || {VARIANT} END"
+TITLE = f"""CASE l_linenumber WHEN 1 THEN 'SAMSUNG Galaxy S' || CAST(p_partkey AS STRING) || {VARIANT} || ' 5G 256GB'
+ WHEN 2 THEN 'Funda para Galaxy S' || CAST(p_partkey AS STRING) WHEN 3 THEN 'Galaxy S' || CAST(p_partkey AS STRING) || ' Ultra 512 GB ' || p_name
+ WHEN 4 THEN 'Apple Macbook Air ' || CAST(p_partkey AS STRING) || ' chip M' || CAST(p_partkey % 5 + 1 AS STRING) || ' 16GB RAM'
+ WHEN 5 THEN 'Galaxy S' || CAST(p_partkey AS STRING) || {VARIANT} || ' Wi-Fi, 6.7 pulgadas' WHEN 6 THEN p_name ELSE 'Galaxy S' || CAST(p_partkey AS STRING) || ' reacondicionado' END"""
+
+
+def titles(spark, sf):
+    li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("title_id"),
+                       F.expr(TITLE).alias("name"), F.expr("CASE WHEN l_linenumber = 1 THEN 256 WHEN l_linenumber = 3 THEN 512 END").alias("capacity_gb"))
+
+
+def targets(spark, sf):
+    return read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("target_id"), F.expr(TARGET).alias("model"),
+        F.expr("CASE p_size % 3 WHEN 0 THEN 256 WHEN 1 THEN 512 END").alias("capacity_gb"), F.col("p_partkey").alias("_ord"))
+
+
+def catalogue(mode):
+    def run(spark, sf):
+        found = M.match_catalogue(titles(spark, sf), targets(spark, sf), mode)
+        return found.groupBy("target_id").agg(F.count("*").alias("n_titles"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    return run
+
+
+def names(spark, sf):
+    t = titles(spark, sf).select("name").distinct()
+    c = X.clean_name(F.col("name"))
+    return t.select("name", c.alias("clean"), F.array_join(X.model_numbers(c), " ").alias("numbers"), F.array_join(X.tiers(c), " ").alias("tiers"),
+                    X.galaxy_series(c).alias("series"), X.chip_signature(F.col("name")).alias("chip"), X.is_accessory(F.col("name")).alias("accessory"),
+                    X.is_non_new(F.col("name")).alias("non_new"))
+
+
+def classes(spark, sf):
+    t = titles(spark, sf).select("name").distinct()
+    n = F.col("name")
+    return t.select("name", X.category(n, F.lit("Samsung")).alias("category"), X.device_type(n).alias("device"), X.galaxy_model(n).alias("model"),
+                    X.connectivity_signature(n).alias("signature"), X.in_focus(F.lit("mobile"), F.lit("Samsung"), n).alias("focus"))
+
+
+def pairs(spark, sf):
+    """Titles beside the target of the same part: candidates a search for the target returned."""
+    li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.expr(TARGET).alias("model"), F.expr(TITLE).alias("title"),
+                       F.expr("CASE p_size % 3 WHEN 0 THEN 256 WHEN 1 THEN 512 END").alias("capacity"))
+
+
+def f7(spark, sf):
+    c = pairs(spark, sf)
+    score = M.additive_score(F.lit("Samsung"), F.col("model"), F.col("capacity"), F.col("title"))
+    return c.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", score.alias("score"))
+
+
+def f7_pick(spark, sf):
+    c = pairs(spark, sf)
+    score = M.additive_score(F.lit("Samsung"), F.col("model"), F.col("capacity"), F.col("title"))
+    rows = c.select(F.col("l_partkey").alias("seed_id"), F.concat_ws("/", "l_suppkey", "l_linenumber").alias("href"), "title",
+                    score.alias("score"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("_ord"))
+    return M.pick_candidate(rows, rows.where("href LIKE '0/%'").select("href")).select("seed_id", "title", "score")
+
+
+def f8(spark, sf):
+    c = pairs(spark, sf).withColumn("retailer", F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'Grover' WHEN 1 THEN 'Amazon' ELSE 'Movistar' END"))
+    href = F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'https://www.grover.com/es/products/x' WHEN 1 THEN 'https://www.amazon.es/dp/X' ELSE 'https://www.movistar.es/x' END")
+    ok = M.accept_candidate(F.col("retailer"), F.lit("Samsung"), F.col("model"), F.col("capacity"), F.lit("mobile"), F.col("title"), href)
+    return c.select("retailer", "model", "title", ok.alias("accepted")).distinct()
+
+
+def queries_offers(spark, sf):
+    """Requested products beside the offers retrieved for them."""
+    o = offers(spark, sf)
+    p = read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("p_brand"), F.expr("p_name || ' ' || CAST(p_partkey AS STRING)").alias("p_model"),
+        F.expr("CASE p_partkey % 3 WHEN 0 THEN 256 WHEN 1 THEN 128 END").alias("p_capacity"))
+    rows = o.select(F.substring_index("product_code", "SM-A", -1).cast("bigint").alias("query_id"), "brand", "model", "retailer", "capacity_gb",
+                    F.col("price_value").cast("double").alias("price"), F.col("source_title").alias("title"), F.when(F.col("in_stock"), 0.9).otherwise(0.5).alias("confidence"), "_ord")
+    return p.join(rows, "query_id", "left")
+
+
+def f9(spark, sf):
+    return M.suggestions(queries_offers(spark, sf)).select("query_id", "place", "title", "capacity_gb", "retailer", "loose")
+
+
+def f15(spark, sf):
+    c = pairs(spark, sf).select(F.concat_ws("-", "l_partkey", "l_suppkey", "l_orderkey").alias("query_id"), (F.col("l_linenumber") - 1).alias("place"), "title",
+                                F.concat(F.lit("S"), F.col("l_partkey")).alias("query"), (F.col("l_suppkey") % 2 == 0).alias("code_query"),
+                                F.lit("Samsung").alias("brand"), "model", F.col("capacity").alias("target_capacity"), F.col("l_extendedprice").alias("price"))
+    return M.search_cards(c)
+
+
+def products(spark, sf):
+    p = read_table(spark, sf, "part")
+    return p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
+                    F.col("p_partkey").alias("_ord"), F.col("p_partkey").alias("part"))
+
+
+def f5(spark, sf):
+    g = G.group_products(products(spark, sf))
+    return g.groupBy("group_key").agg(F.count("*").alias("n_products"), F.count_distinct("model_key").alias("n_keys"))
+
+
+SOURCE = """CASE l_suppkey % 9 WHEN 0 THEN 'home_store' WHEN 1 THEN 'rentik' WHEN 2 THEN 'grover' WHEN 3 THEN 'movistar' WHEN 4 THEN 'amazon'
+ WHEN 5 THEN 'mediamarkt' WHEN 6 THEN 'apple_store' WHEN 7 THEN 'samsung_store' ELSE 'other' END"""
+KIND = "CASE l_returnflag WHEN 'R' THEN 'renting' ELSE 'purchase' END"
+
+
+def price_points(spark, sf):
+    """Price points grouped by the exact model key; the fuzzy merge is the query above."""
+    li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(G.model_key(F.concat_ws(" ", "p_name", "p_partkey")).alias("group_key"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"),
+                       F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.expr(SOURCE).alias("source"), F.expr(KIND).alias("price_type"),
+                       F.col("l_extendedprice").alias("price"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("_ord"))
+
+
+def f6(spark, sf):
+    """Spelling variants of part names matched to the distinct names."""
+    p = read_table(spark, sf, "part")
+    wanted = p.select(F.col("p_partkey").alias("id"), G.plain_name(F.concat_ws(" ", F.concat(F.col("p_name"), F.lit("s")), F.lit("the new"))).alias("t")).select(
+        "id", M.sorted_words(F.col("t")).alias("text"))
+    cands = p.groupBy("p_name").agg(F.min("p_partkey").alias("_ord")).select(F.col("p_name").alias("id"), M.sorted_words(F.col("p_name")).alias("text"), "_ord")
+    return M.best_of_candidates(wanted, cands).select(F.col("l_id").alias("part"), F.col("r_id").alias("name"), (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
+
+
+def hrefs(spark, sf):
+    return read_table(spark, sf, "part").select(F.expr(f"'https://rentik.example/es/samsung-galaxy-s' || CAST(p_partkey AS STRING) || replace(replace(lower({VARIANT}), ' ', '-'), '+', '-plus') || '-5g256'").alias("href"), F.col("p_partkey").alias("_ord"))
+
+
+def l8(spark, sf):
+    """Marketplace sellers among the suppliers of each part."""
+    li = spread(read_table(spark, sf, "lineitem"))
+    per = li.select("l_partkey", F.expr("CASE l_suppkey % 7 WHEN 0 THEN 'MKP' ELSE 'own' END").alias("type")).distinct()
+    prov = per.groupBy("l_partkey").agg(F.collect_set(F.struct("type")).alias("providers"))
+    return prov.select("l_partkey", X.is_marketplace(F.col("providers")).alias("marketplace"))
+
+
+def f4a(spark, sf):
+    p = read_table(spark, sf, "part")
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.expr(
+        "'https://www.apple.com/es/shop/buy-' || CASE p_partkey % 2 WHEN 0 THEN 'ipad/ipad-pro-' ELSE 'iphone/iphone-pro-' END || CAST(p_partkey AS STRING)").alias("url"))
+    t = p.select(F.col("p_partkey").alias("target_id"), F.expr("CASE p_partkey % 2 WHEN 0 THEN 'Apple iPad Pro ' ELSE 'Apple iPhone Pro ' END || CAST(p_partkey AS STRING)").alias("model"))
+    return M.targets_for_page(pages, t)
+
+
+QUERIES = {
+    "f0_f4b_name_features": names,
+    "f1_match_catalogue": catalogue("strict"),
+    "f2_match_scored": catalogue("scored"),
+    "f3_match_chipless": catalogue("chipless"),
+    "f4_match_slugs": lambda spark, sf: M.match_slugs(targets(spark, sf), hrefs(spark, sf)),
+    "f4a_targets_for_page": f4a,
+    "f5_group_products": f5,
+    "f6_best_of_candidates": f6,
+    "f7_additive_score": f7,
+    "f7_pick_candidate": f7_pick,
+    "f8_accept_candidate": f8,
+    "f9_suggestions": f9,
+    "f10_outcome": lambda spark, sf: M.outcome(queries_offers(spark, sf)),
+    "f11_f12_classes": classes,
+    "f14_connectivity_clash": lambda spark, sf: pairs(spark, sf).select("model", "title", X.connectivity_clash(F.col("model"), F.col("title")).alias("clash"),
+                                                                        X.family_matches(F.col("title"), F.col("model")).alias("family"), X.variant_clash(F.col("title"), F.col("model")).alias("variant")).distinct(),
+    "f15_search_cards": f15,
+    "l8_marketplace": l8,
+    "h8_catalogue_outcome": lambda spark, sf: M.match_catalogue(titles(spark, sf), targets(spark, sf)).select((F.col("score") >= 100).alias("exact")).groupBy("exact").agg(F.count("*").alias("n")),
+    "a22_comparison_wide": lambda spark, sf: G.comparison_wide(price_points(spark, sf)),
+    "a24_category_summary": lambda spark, sf: G.category_summary(G.comparison_wide(price_points(spark, sf))),
+    "a25_source_counts": lambda spark, sf: G.source_counts(price_points(spark, sf)),
+}
+
+_PP = f"""WITH pp AS MATERIALIZED (SELECT array_to_string(list_filter(regexp_split_to_array(p_name || ' ' || p_partkey, '\\s+'), lambda w: length(w) > 1
+ AND w NOT IN ({', '.join("'" + w + "'" for w in G.STOPWORDS)})), ' ') AS group_key, p_name || ' ' || p_partkey AS name, p_brand AS brand, p_type AS category, {SOURCE} AS source,
+ {KIND} AS price_type, l_extendedprice AS price, (l_orderkey, l_linenumber, l_suppkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def _pick(col):
+    return f"arg_min({col}, (source <> 'home_store', o)) AS {col}"
+
+
+_PRICES = ", ".join(f"min(price) FILTER (source = '{s}' AND price_type = '{k}') AS {c}" for s, pair in G.SOURCES.items()
+                    for k, c in zip(("renting", "purchase"), pair) if c)
+
+
+def _delta(c, b):
+    return r2(f"({c} - nullif({b}, 0)) / nullif({b}, 0) * CAST(100.0 AS DOUBLE)", "10.0") + f" AS {c}_delta"
+
+
+_WIDE = _PP + f""", w AS (SELECT group_key, {_pick('name')}, {_pick('brand')}, {_pick('category')}, {_PRICES} FROM pp GROUP BY group_key),
+ wide AS (SELECT *, {_delta('rentik_renting', 'home_renting')}, {_delta('grover_renting', 'home_renting')}, {_delta('movistar_renting', 'home_renting')},
+ {_delta('amazon_purchase', 'home_purchase')}, {_delta('mediamarkt_purchase', 'home_purchase')} FROM w)"""
+_LOW = "least(amazon_purchase, mediamarkt_purchase, rentik_renting, grover_renting)"
+
+
+def _share(cond):
+    return f"CAST(floor(count(*) FILTER ({cond}) / CAST(count(*) AS DOUBLE) * CAST(100.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS INT)"
+
+
+_QO = f""", q AS (SELECT p_partkey AS query_id, p_brand, p_name || ' ' || p_partkey AS p_model, CASE p_partkey % 3 WHEN 0 THEN 256 WHEN 1 THEN 128 END AS p_capacity FROM part),
+ j AS (SELECT q.*, o.brand, o.model, o.retailer, o.capacity_gb, CAST(o.price_value AS DOUBLE) AS price, o.source_title AS title,
+ CASE WHEN o.in_stock THEN 0.9 ELSE 0.5 END AS confidence, o._ord FROM q LEFT JOIN offers o ON CAST(substr(o.product_code, 5) AS BIGINT) = query_id),
+ tk AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace({norm('p_model')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')) AS want,
+ list_distinct(list_filter(string_split(regexp_replace({norm("concat_ws(' ', model, title)")}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')) AS have FROM j),
+ sc AS (SELECT *, floor(CAST(len(list_intersect(want, have)) AS DOUBLE) / len(want) * 70) + CASE WHEN {norm('p_brand')} = {norm('brand')} THEN 20 ELSE -25 END
+ + CASE WHEN price > 0 THEN 5 ELSE 0 END AS raw, CASE WHEN p_capacity IS NULL THEN 0 WHEN capacity_gb IS NOT DISTINCT FROM p_capacity THEN 20 ELSE -35 END AS cap FROM tk),
+ s AS (SELECT *, CASE WHEN len(have) = 0 THEN 0 ELSE CAST(least(greatest(raw + greatest(cap, 0), 0), 100) AS INT) END AS loose,
+ CASE WHEN len(have) = 0 THEN 0 ELSE CAST(least(greatest(raw + cap, 0), 100) AS INT) END AS tight FROM sc)"""
+
+ORACLE = {
+    "f9_suggestions": over_offers(_QO + """, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, title, capacity_gb, retailer ORDER BY confidence DESC, _ord) = 1)
+ SELECT query_id, CAST(place AS INT) AS place, title, capacity_gb, retailer, loose FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY loose DESC, confidence DESC,
+ coalesce(price, 0), _ord) AS place FROM u) WHERE place <= 3"""),
+    "f10_outcome": over_offers(_QO + """, g AS (SELECT *, CASE WHEN p_capacity IS NOT NULL THEN tight >= 85 AND capacity_gb IS NOT DISTINCT FROM p_capacity ELSE loose >= 85 END AS good FROM s),
+ a AS (SELECT query_id, p_capacity, count(*) FILTER (good) AS n_good, count(DISTINCT capacity_gb) FILTER (good) AS n_sizes, min(price) FILTER (good) AS bp, count(title) AS n FROM g GROUP BY ALL),
+ t AS (SELECT *, CASE WHEN p_capacity IS NULL AND n_sizes > 1 THEN 'needs_clarification' WHEN n_good > 0 THEN 'completed' WHEN n > 0 THEN 'needs_clarification' ELSE 'not_found' END AS status FROM a)
+ SELECT query_id, status, n_good, n_sizes, CASE WHEN status = 'completed' THEN bp END AS best_price FROM t"""),
+    "l8_marketplace": "SELECT l_partkey, bool_or(l_suppkey % 7 = 0) AS marketplace FROM lineitem GROUP BY 1",
+    "f4a_targets_for_page": "SELECT p_partkey AS page_id, p_partkey AS target_id, 'exact' AS rule FROM part",
+    "a22_comparison_wide": _WIDE + " SELECT * FROM wide",
+    "a24_category_summary": _WIDE + f""", r AS (SELECT category, brand, coalesce(home_renting, home_purchase) AS b, {_LOW} AS lo,
+ greatest(amazon_purchase, mediamarkt_purchase, rentik_renting, grover_renting) AS hi FROM wide) SELECT category, brand, count(*) AS n, min(b) AS min_base, max(b) AS max_base,
+ min(lo) AS min_market, max(hi) AS max_market, {_share('b < lo')} AS cheaper_pct, {_share('abs(b - lo) / b < CAST(0.05 AS DOUBLE)')} AS same_pct,
+ {_share('b > lo * CAST(1.05 AS DOUBLE)')} AS dearer_pct FROM r GROUP BY ALL""",
+    "a25_source_counts": _PP + " SELECT source, count(*) AS n, count(DISTINCT name) AS n_products FROM pp GROUP BY 1",
+}
