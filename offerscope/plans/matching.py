@@ -220,7 +220,52 @@ _QO = f""", q AS (SELECT p_partkey AS query_id, p_brand, p_name || ' ' || p_part
  s AS (SELECT *, CASE WHEN len(have) = 0 THEN 0 ELSE CAST(least(greatest(raw + greatest(cap, 0), 0), 100) AS INT) END AS loose,
  CASE WHEN len(have) = 0 THEN 0 ELSE CAST(least(greatest(raw + cap, 0), 100) AS INT) END AS tight FROM sc)"""
 
+
+
+def _clean_sql(x):
+    out = f"lower({x})"
+    for pattern, new in X.NAME_REWRITES:
+        pat = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{pat}', '{new.replace('$', chr(92))}', 'g')"
+    return f"trim({out})"
+
+
+_TN = f"WITH t AS (SELECT DISTINCT {TITLE} AS name FROM lineitem JOIN part ON l_partkey = p_partkey), c AS MATERIALIZED (SELECT name, {_clean_sql('name')} AS clean FROM t)"
+_NUMS = """array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(clean, '\\b[a-z]+(\\d+)\\b', 1),
+ regexp_extract_all(clean, '\\b(\\d{2,})\\b', 1)), lambda v: NOT (v = '5' AND regexp_matches(clean, '\\b5g\\b'))))), ' ')"""
+_TIERS = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in X.TIERS) + ")))), ' ')"
+
+
+def _any(words):
+    return "'" + "|".join(words) + "'"
+
+
+_PAIRS = f"""WITH p AS MATERIALIZED (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, {TARGET} AS model, {TITLE} AS title,
+ CASE p_size % 3 WHEN 0 THEN 256 WHEN 1 THEN 512 END AS capacity FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_SIZES = "list_transform(regexp_extract_all(lower(title), '\\b(64|128|256|512|1024|2048)\\s*gb\\b', 1), lambda v: CAST(v AS INT))"
+_SIG = """CASE WHEN regexp_matches(lower({x}), '\\bwi[\\s-]?fi\\b') AND regexp_matches(lower({x}), 'cellular|celular|\\b5g\\b') THEN 'wifi_cellular'
+ WHEN regexp_matches(lower({x}), 'cellular|celular|\\b5g\\b') THEN 'cellular' WHEN regexp_matches(lower({x}), '\\bwi[\\s-]?fi\\b') THEN 'wifi' END"""
+
 ORACLE = {
+    "f0_f4b_name_features": _TN + f""" SELECT name, clean, {_NUMS} AS numbers, {_TIERS} AS tiers,
+ coalesce(nullif(regexp_extract(clean, '\\bgalaxy\\s+([asz])\\s*\\d{{1,2}}\\b', 1), ''), nullif(regexp_extract(clean, '\\b([asz])\\s*\\d{{1,2}}\\b', 1), '')) AS series,
+ CASE WHEN contains(lower(name), 'mac') AND regexp_matches(lower(name), '\\bm\\d{{1,2}}\\b') THEN regexp_extract(lower(name), '\\b(m\\d{{1,2}})\\b', 1) || ' '
+ || coalesce(nullif(regexp_extract(lower(name), '\\bm\\d{{1,2}}\\s+(pro|max|ultra)\\b', 1), ''), 'base') END AS chip,
+ regexp_matches(lower(name), {_any(X.ACCESSORY_WORDS)}) OR regexp_matches(lower(name), '\\b(?:for|para)\\s+(?:iphone|ipad|mac(?:book| mini)?|imac|galaxy|samsung)\\b') AS accessory,
+ regexp_matches(lower(name), {_any(X.NON_NEW)}) AS non_new FROM c""",
+    "f7_additive_score": _PAIRS + f""" SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(CAST(contains(lower(title), 'samsung') AS INT)
+ + CAST(contains(lower(title), 'galaxy') AS INT) + 2 * len(list_filter(regexp_split_to_array(regexp_replace(lower(model), '\\b(samsung|galaxy|apple)\\b', ' ', 'g'),
+ '[^a-z0-9]+'), lambda w: w NOT IN ('', '5g', 'gb') AND contains(lower(title), w))) + CASE WHEN capacity IS NULL THEN 0 ELSE
+ CASE WHEN contains(title, CAST(capacity AS VARCHAR)) THEN 3 ELSE 0 END + CASE WHEN len({_SIZES}) = 0 THEN 0 WHEN list_contains({_SIZES}, capacity) THEN 2 ELSE -3 END END AS INT)
+ AS score FROM p""",
+    "f11_f12_classes": _TN + f""" SELECT name, CASE WHEN contains(lower(name), 'iphone') THEN 'iPhone' WHEN contains(lower(name), 'ipad') THEN 'iPad'
+ WHEN regexp_matches(lower(name), 'macbook|mac mini|imac|mac pro') THEN 'Mac' WHEN contains(lower(name), 'galaxy') AND regexp_matches(lower(name), 's2|s3|z fold|z flip|a5|a7')
+ THEN 'Galaxy' WHEN regexp_matches(lower(name), 'galaxy tab|tab s') THEN 'Tablet' WHEN contains(lower(name), 'tab') THEN 'Tablet' ELSE 'Galaxy' END AS category,
+ CASE WHEN regexp_matches(lower(name), {_any(X.ACCESSORY_HINTS)}) THEN NULL WHEN regexp_matches(lower(name), 'macbook|galaxy book|portatil|laptop|notebook|imac|mac mini|mac studio')
+ THEN 'laptop' WHEN regexp_matches(lower(name), 'ipad|\\btab(?:let|lets)?\\b') THEN 'tablet' WHEN regexp_matches(lower(name), 'movil|smartphone|iphone|samsung|galaxy|apple') THEN 'mobile' END AS device,
+ CASE WHEN regexp_matches(name, '(?i)galaxy[\\w\\s+\\-]') THEN 'Samsung ' || regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_extract(name, '(?i)(Galaxy[\\w\\s+\\-]{{1,40}})', 1),
+ '\\s+', ' ', 'g')), '(?i)\\b\\d{{2,4}}\\s*GB\\b', '', 'g')), '[\\s\\-_/]+$', '') ELSE 'Samsung Galaxy' END AS model, {_SIG.replace('{x}', 'name')} AS signature,
+ regexp_matches(lower(name), '\\bs\\s*25\\b') AS focus FROM c""",
     "f9_suggestions": over_offers(_QO + """, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, title, capacity_gb, retailer ORDER BY confidence DESC, _ord) = 1)
  SELECT query_id, CAST(place AS INT) AS place, title, capacity_gb, retailer, loose FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY loose DESC, confidence DESC,
  coalesce(price, 0), _ord) AS place FROM u) WHERE place <= 3"""),
