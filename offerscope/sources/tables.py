@@ -135,7 +135,7 @@ def spread(df: DataFrame) -> DataFrame:
     far more splits than cores, so no shuffle is added there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _derive(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
