@@ -18,7 +18,12 @@ from offerscope.operators.joins import join_null_safe
 from offerscope.plans.sqltext import BASE, cases, norm, over_offers, r2
 from offerscope.sources.tables import offers, read_table
 
-PRICE = F.col("price_value").cast("double").alias("price")
+
+
+def price():
+    return F.col("price_value").cast("double").alias("price")
+
+
 ROW = ["retailer", "model", "capacity_gb", "offer_type", "term_months"]
 ROWSQL = "retailer, model, capacity_gb, offer_type, term_months, CAST(price_value AS DOUBLE) AS price"
 RETAILERS = ["Amazon", "Media Markt", "Home Store"]
@@ -30,7 +35,7 @@ def _q(fn):
 
 
 def _row(df):
-    return df.select(*ROW, PRICE)
+    return df.select(*ROW, price())
 
 
 def l1(o):
@@ -92,7 +97,7 @@ def h4(o):
     ours = o.where(F.col("retailer") == BASE).select(*key).distinct()
     rivals = o.where(F.col("retailer") != BASE)
     hit = join_null_safe(rivals, ours.withColumn("_hit", F.lit(1)), key)
-    return hit.select(*ROW, PRICE)
+    return hit.select(*ROW, price())
 
 
 def h9(spark, sf):
@@ -111,7 +116,7 @@ def w1(o):
 
 def w5(o):
     """Keys the sort compares, per row; the order itself is tested on a fixture."""
-    return W.page(o, 3, 100, "model", True).select(*ROW, PRICE)
+    return W.page(o, 3, 100, "model", True).select(*ROW, price())
 
 
 def w11_terms(o):
@@ -147,12 +152,12 @@ QUERIES = {
     "w3_bounds": _q(lambda o: S.bounds(S.reference_prices(o))),
     "w4_coverage_rank": _q(lambda o: P.coverage_rank(P.best_price(o).groupBy("retailer").agg(F.count("*").alias("sku_count")))),
     "w5_page_by_model_desc": _q(w5),
-    "w6_grid_order_top": _q(lambda o: W.sort_grid(o, "price_value", True).limit(200).select(*ROW, PRICE)),
-    "w7_page": _q(lambda o: W.page(o, 2, 900).select(*ROW, PRICE)),
+    "w6_grid_order_top": _q(lambda o: W.sort_grid(o, "price_value", True).limit(200).select(*ROW, price())),
+    "w7_page": _q(lambda o: W.page(o, 2, 900).select(*ROW, price())),
     "w8_retailer_order": _q(lambda o: o.select("retailer").distinct().orderBy(
         *W.retailer_order(F.col("retailer"), ["Home Store", "Media Markt", "Amazon"])).limit(20)),
     "w9_interleave": _q(lambda o: W.interleave(o, 500).select(*ROW, "device_type", F.col("turn").cast("bigint").alias("turn"))),
-    "w10_top_offers": _q(lambda o: W.top_k(o.where("price_value IS NOT NULL"), [F.col("price_value"), F.col("_ord")], 40, 25).select(*ROW, PRICE)),
+    "w10_top_offers": _q(lambda o: W.top_k(o.where("price_value IS NOT NULL"), [F.col("price_value"), F.col("_ord")], 40, 25).select(*ROW, price())),
     "w11_terms_per_model": _q(w11_terms),
     "w12_union": _q(lambda o: o.where("in_stock").unionByName(o.where("NOT in_stock")).groupBy("retailer").agg(F.count("*").alias("n"))),
     "w13_shared_with_base": _q(lambda o: o.where("retailer = 'Amazon'").select("model", "capacity_gb").intersect(
