@@ -14,7 +14,7 @@ from offerscope.operators import merge as M
 from offerscope.operators import validate as V
 from offerscope.operators.ordering import validation_sample
 from offerscope.plans.sqltext import BASE, cases, dbl, norm, num, over_offers, over_raw, r2
-from offerscope.sources.tables import offers, raw_offers, read_table
+from offerscope.sources.tables import offers, raw_offers, read_table, spread
 
 CUT = "2001-01"
 
@@ -296,7 +296,7 @@ def n15(spark, sf):
 
 
 QUERIES = {
-    "n1_normalize_text": lambda spark, sf: read_table(spark, sf, "documents").select(
+    "n1_normalize_text": lambda spark, sf: spread(read_table(spark, sf, "documents")).select(
         "doc_id", normalize_text(F.col("text")).alias("text_n")),
     "n2_canonicalize": _r(lambda r: _show(N.canonicalize(r))),
     "n3_retailer_alias": _r(lambda r: r.select(N.retailer_name(F.col("retailer")).alias("retailer"),
