@@ -9,9 +9,10 @@ to their weighted Jaccard similarity, and points later than the components' maxi
 
 ``BANDS`` bands of ``ROWS`` components give candidates: a pair at 0.8 is missed by all bands with
 probability 8e-5. Candidates are verified on the shingle multisets of the whole texts. No bucket is expanded
-into its pairs: first all members are compared with the bucket's least key; then only members outside the
-bucket's largest component with members of other components. Links form components, labelled by
-minimum propagation with pointer jumping; every step is written to the shared folder.
+into its pairs: first every text is compared with one bucket's least key, then with those of its other
+buckets that are not in its component yet, at last only members outside a bucket's largest component with
+members of other components. Links form components by contraction; every step is written to the shared
+folder.
 
 Defined results: equal texts are one class; null counts as empty; texts without words are like equal ones
 only; a text of one to four words is one shingle; class_id is the least doc_id of the class (null if none has
@@ -160,19 +161,42 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """_key and _root, the least key it is linked with over any number of links."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("_key")).agg(F.least(F.min("b"), F.first("a")).alias("_root")), "labels")
+    """_key and _root, the least key it is linked with over any number of links.
+
+    Every node points to its least neighbour if that is less, pointers are doubled until they reach the trees'
+    roots, and the links between different roots, each once, are the next round's.
+    """
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
     while True:
-        heard = both.join(labels, F.col("b") == F.col("_key")).groupBy(F.col("a").alias("_key")).agg(F.min("_root").alias("_heard"))
-        nearer = labels.join(heard, "_key").select("_key", "_root", F.least("_root", "_heard").alias("_new"))
-        jumps = labels.select(F.col("_key").alias("_new"), F.col("_root").alias("_further"))
-        stepped = materialize(nearer.join(jumps, "_new").select("_key", F.col("_root").alias("_old"), F.least("_new", "_further").alias("_root")), "labels")
-        labels = stepped.select("_key", "_root")
-        if stepped.where("_old <> _root").isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = materialize(ends.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("root")), "tree")
+        while True:
+            above = tree.select(F.col("a").alias("root"), F.col("root").alias("higher"))
+            tree = materialize(tree.select("a", "root").join(above, "root").select("a", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")), "tree")
+            if tree.where("moved").isEmpty():
+                break
+        tree = tree.select("a", "root")
+        if labels is None:
+            labels = tree.select(F.col("a").alias("_key"), F.col("root").alias("_root"))
+        else:
+            raised = labels.join(tree, F.col("_root") == F.col("a"), "left")
+            labels = materialize(raised.select("_key", F.coalesce("root", "_root").alias("_root")), "labels")
+        into = tree.select(F.col("a").alias("b"), F.col("root").alias("root_b"))
+        between = edges.join(tree, "a").join(into, "b").where("root <> root_b")
+        edges = materialize(between.select(F.least("root", "root_b").alias("a"), F.greatest("root", "root_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 
+def _star(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a pivot and a text that pass the cheap conditions."""
+    facts = signed.drop("_bands")
+    pivots = facts.withColumnRenamed("_key", "_pivot").alias("p")
+    known = pairs.select("_key", "_pivot").join(facts, "_key").alias("m").join(pivots, F.col("m._pivot") == F.col("p._pivot"))
+    return known.where(_plausible("m", "p")).select(F.col("m._pivot").alias("a"), F.col("m._key").alias("b"))
+
+
 def near_links(keyed: DataFrame) -> DataFrame:
     """_key and _root of all texts that are linked with a different text; ``keyed`` has _key and _text."""
     signed = materialize(signatures(keyed), "signatures")
@@ -181,10 +205,14 @@ def near_links(keyed: DataFrame) -> DataFrame:
     members = materialize(bands.join(shared, "_band").join(signed.drop("_bands"), "_key"), "members")
     texts = materialize(keyed.select("_key", "_text").join(members.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]), "texts")
 
-    pivots = signed.drop("_bands").withColumnRenamed("_key", "_pivot").alias("p")
-    star = members.where("_key <> _pivot").select("_key", "_pivot", "_weight", "_sketch_0", "_sketch_1").distinct().alias("m")
-    star = star.join(pivots, F.col("m._pivot") == F.col("p._pivot")).where(_plausible("m", "p")).select(F.col("m._pivot").alias("a"), F.col("m._key").alias("b"))
-    links = materialize(_verified(star, texts), "star")
+    # first each text against one pivot, which settles most; then against the pivots it isn't linked with
+    single = members.groupBy("_key").agg(F.min("_pivot").alias("_pivot")).where("_key <> _pivot")
+    links = materialize(_verified(_star(single, signed), texts), "star")
+    roots = components(links)
+    apart = members.where("_key <> _pivot").select("_key", "_pivot").distinct().join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    other = roots.select(F.col("_key").alias("_pivot"), F.col("_root").alias("_pivot_root"))
+    apart = apart.join(other, "_pivot", "left").where(F.col("_root") != F.coalesce("_pivot_root", "_pivot"))
+    links = materialize(links.unionByName(_verified(_star(apart, signed), texts)), "star")
 
     placed = members.join(components(links), "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
     sizes = placed.groupBy("_band", "_root").agg(F.count("*").alias("n"))
