@@ -11,7 +11,7 @@ to their weighted Jaccard similarity, and points later than the components' maxi
 probability 8e-5. Candidates are verified on the shingle multisets of the whole texts. No bucket is expanded
 into its pairs: first every text is compared with one bucket's least key, then with those of its other
 buckets that are not in its component yet, at last only members outside a bucket's largest component with
-members of other components. Links form components by contraction; every step is written to the shared
+members of other components, the likeliest pairs first. Links form components by contraction; every step is written to the shared
 folder.
 
 Defined results: equal texts are one class; null counts as empty; texts without words are like equal ones
@@ -32,8 +32,10 @@ from offerscope.llm.repeats import Words, window_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 40
-SKETCH_BITS = 128
+SKETCH = 280  # components with two bits each in a sketch
 SKETCH_SLACK = 5.0
+ESTIMATES = (0.84, 0.8, 0.76)  # what pairs are compared first, by the similarity that their sketches suggest
+SKETCHES = [f"_sketch_{i}" for i in range(-(-SKETCH // 32))]
 SEEN = 500_000
 _BLOCK, _POINT, _PLACE, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -104,8 +106,16 @@ def _banded(winner: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
+def _sketched(winner: np.ndarray) -> list[int]:
+    """Two bits of each component, 32 components in a number."""
+    symbols = np.zeros(len(SKETCHES) * 32, dtype=np.uint64)
+    symbols[:SKETCH] = winner[:SKETCH] & np.uint64(3)
+    shifted = symbols.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(shifted, axis=1).view(np.int64).tolist()
+
+
 def signatures(keyed: DataFrame) -> DataFrame:
-    """_key, _weight, _sketch_0, _sketch_1, _bands of every distinct text that has words."""
+    """_key, _weight, sketches and _bands of every distinct text that has words."""
 
     def signed(batches: Batches):
         words, seen = Words(), set()
@@ -122,21 +132,25 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 winner = signature(elements, counts)
                 keys.append(key)
                 weights.append(int(counts.sum()))
-                sketches.append(np.packbits((winner[:SKETCH_BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                sketches.append(_sketched(winner))
                 bands.append(_banded(winner))
-            yield batches_of({"_key": (keys, pa.int64()), "_weight": (weights, pa.int64()), "_sketch_0": ([s[0] for s in sketches], pa.int64()),
-                              "_sketch_1": ([s[1] for s in sketches], pa.int64()), "_bands": (bands, pa.list_(pa.int64()))})
+            wide = {name: ([s[i] for s in sketches], pa.int64()) for i, name in enumerate(SKETCHES)}
+            yield batches_of({"_key": (keys, pa.int64()), "_weight": (weights, pa.int64())} | wide | {"_bands": (bands, pa.list_(pa.int64()))})
 
-    made = keyed.select("_key", "_text").mapInArrow(signed, "_key long, _weight long, _sketch_0 long, _sketch_1 long, _bands array<long>")
+    made = keyed.select("_key", "_text").mapInArrow(signed, f"_key long, _weight long, {', '.join(f'{s} long' for s in SKETCHES)}, _bands array<long>")
     return made.dropDuplicates(["_key"])
 
 
-def _plausible(a: str, b: str):
-    """Condition that every pair at the threshold meets: sizes, and sketches within ``SKETCH_SLACK`` deviations."""
-    differ = (1 - THRESHOLD) / 2
-    most = int(SKETCH_BITS * differ + SKETCH_SLACK * (SKETCH_BITS * differ * (1 - differ)) ** 0.5)
+def _plausible(a: str, b: str, estimate: float | None = None):
+    """Condition that every pair at the threshold meets: sizes, and sketches within ``SKETCH_SLACK`` deviations;
+    with an estimate, that the sketches suggest so much."""
+    differ = (1 - THRESHOLD) * 3 / 4  # components that differ, and not by chance alike in two bits
+    most = int(SKETCH * differ + SKETCH_SLACK * (SKETCH * differ * (1 - differ)) ** 0.5)
+    if estimate is not None:
+        most = int(SKETCH * (1 - estimate) * 3 / 4)
     col = lambda side, name: F.col(f"{side}.{name}")
-    distance = sum(F.bit_count(col(a, n).bitwiseXOR(col(b, n))) for n in ("_sketch_0", "_sketch_1"))
+    odd = lambda x: F.bit_count((x.bitwiseOR(F.shiftright(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    distance = sum(odd(col(a, n).bitwiseXOR(col(b, n))) for n in SKETCHES)
     small, large = F.least(col(a, "_weight"), col(b, "_weight")), F.greatest(col(a, "_weight"), col(b, "_weight"))
     return (small >= THRESHOLD * large) & (distance <= most)
 
@@ -214,17 +228,24 @@ def near_links(keyed: DataFrame) -> DataFrame:
     apart = apart.join(other, "_pivot", "left").where(F.col("_root") != F.coalesce("_pivot_root", "_pivot"))
     links = materialize(links.unionByName(_verified(_star(apart, signed), texts)), "star")
 
-    placed = members.join(components(links), "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    for estimate in (*ESTIMATES, None):
+        between = _across(members, components(links), estimate)
+        links = materialize(links.unionByName(_verified(between, texts)), "star")
+    return components(links)
+
+
+def _across(members: DataFrame, roots: DataFrame, estimate: float | None) -> DataFrame:
+    """Pairs of different components that share a bucket: members outside the bucket's largest component with
+    those of the others. The likeliest pairs are taken first, since one link settles a text."""
+    placed = members.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
     sizes = placed.groupBy("_band", "_root").agg(F.count("*").alias("n"))
     open_bands = sizes.groupBy("_band").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main"), F.count("*").alias("parts")).where("parts > 1").select("_band", "_main")
     placed = materialize(placed.join(open_bands, "_band"), "open")
     outside, anyone = placed.where("_root <> _main").alias("x"), placed.alias("y")
     once = (F.col("y._root") == F.col("y._main")) | (F.col("x._key") < F.col("y._key"))
     untested = (F.col("x._key") != F.col("x._pivot")) & (F.col("y._key") != F.col("x._pivot"))
-    rest = outside.join(anyone, (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested & _plausible("x", "y"))
-    rest = rest.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
-    more = _verified(rest, texts)
-    return components(links.unionByName(more))
+    pairs = outside.join(anyone, (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested & _plausible("x", "y", estimate))
+    return pairs.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
