@@ -23,7 +23,6 @@ MODEL_PATTERNS = (
     r"(galaxy\s+z\s+(?:fold|flip)\s*\d+)",
 )
 STORAGE = r"(\d+\s*(?:gb|tb))"
-MAX_ROUNDS = 200
 # source -> (renting column, purchase column) of the wide comparison
 SOURCES = {
     "home_store": ("home_renting", "home_purchase"),
@@ -64,7 +63,7 @@ def leaders(keys: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
     both = cut_lineage(both)
     state = cut_lineage(keys.select("id", F.lit(None).cast("boolean").alias("leads")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         open_ = state.where("leads IS NULL").select("id")
         live = both.join(open_, "id").join(open_.select(F.col("id").alias("other")), "other")
         blocked = live.where("other < id").select("id").distinct()
@@ -74,8 +73,6 @@ def leaders(keys: DataFrame, edges: DataFrame) -> DataFrame:
         state = cut_lineage(state.join(settled, "id", "left").select("id", F.coalesce("leads", "_new").alias("leads")))
         if state.where("leads IS NULL").isEmpty():
             break
-    else:
-        raise RuntimeError("grouping did not settle; the similarity chains are longer than the round limit")
     heads = state.where("leads").select("id")
     followed = both.join(heads.select(F.col("id").alias("other")), "other").join(
         state.where("NOT leads").select("id"), "id").groupBy("id").agg(F.min("other").alias("leader"))

@@ -286,7 +286,7 @@ def n12(spark, sf):
 def n15(spark, sf):
     """Products with their price points; those without any keep a placeholder row."""
     p, li = read_table(spark, sf, "part"), read_table(spark, sf, "lineitem")
-    points = li.where("l_suppkey < 3").select("l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber")
+    points = li.select("l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber")
     joined = p.join(points, p.p_partkey == points.l_partkey, "left")
     return joined.select(
         F.col("p_name").alias("product"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("part"),
@@ -421,7 +421,7 @@ ORACLE = {
  || coalesce(CAST(capacity_gb AS VARCHAR), 'na') AS key FROM offers"""),
     "n15_product_rows": f"""SELECT p_name AS product, p_brand AS brand, p_partkey AS part,
  coalesce('shop_' || l_suppkey, 'N/A') AS source, {r2('coalesce(l_extendedprice, 0.0::DOUBLE)')} AS price,
- coalesce(l_linenumber, 0) AS instalments FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey < 3)
+ coalesce(l_linenumber, 0) AS instalments FROM part LEFT JOIN lineitem
  ON p_partkey = l_partkey""",
     "n16_model_slug": over_raw(f""", s AS (SELECT {_plain("concat_ws(' ', brand, source_title)")} AS n, {_plain('brand')} AS b,
  lower(capacity_gb || 'GB') AS size FROM raw), t AS (SELECT CASE WHEN starts_with(n, b) THEN trim(substr(n, length(b) + 1))

@@ -155,7 +155,7 @@ QUERIES = {
     "w6_grid_order_top": _q(lambda o: W.sort_grid(o, "price_value", True).limit(200).select(*ROW, price())),
     "w7_page": _q(lambda o: W.page(o, 2, 900).select(*ROW, price())),
     "w8_retailer_order": _q(lambda o: o.select("retailer").distinct().orderBy(
-        *W.retailer_order(F.col("retailer"), ["Home Store", "Media Markt", "Amazon"])).limit(20)),
+        *W.retailer_order(F.col("retailer"), ["Home Store", "Media Markt", "Amazon"]))),
     "w9_interleave": _q(lambda o: W.interleave(o, 500).select(*ROW, "device_type", F.col("turn").cast("bigint").alias("turn"))),
     "w10_top_offers": _q(lambda o: W.top_k(o.where("price_value IS NOT NULL"), [F.col("price_value"), F.col("_ord")], 40, 25).select(*ROW, price())),
     "w11_terms_per_model": _q(w11_terms),
@@ -236,7 +236,7 @@ ORACLE = {
     "w6_grid_order_top": over_offers(f"SELECT {ROWSQL} FROM offers ORDER BY price_value ASC NULLS FIRST, _ord LIMIT 200"),
     "w7_page": over_offers(f"SELECT {ROWSQL} FROM offers ORDER BY price_value ASC NULLS LAST, _ord LIMIT 500 OFFSET 500"),
     "w8_retailer_order": over_offers("""SELECT DISTINCT retailer FROM offers ORDER BY CASE retailer WHEN 'Home Store' THEN 0
- WHEN 'Media Markt' THEN 1 WHEN 'Amazon' THEN 2 ELSE 999 END, retailer LIMIT 20"""),
+ WHEN 'Media Markt' THEN 1 WHEN 'Amazon' THEN 2 ELSE 999 END, retailer"""),
     "w9_interleave": over_offers("""SELECT retailer, model, capacity_gb, offer_type, term_months, CAST(price_value AS DOUBLE) AS price,
  device_type, turn FROM (SELECT *, CASE device_type WHEN 'mobile' THEN 0 WHEN 'tablet' THEN 1 ELSE 2 END AS g,
  row_number() OVER (PARTITION BY CASE device_type WHEN 'mobile' THEN 0 WHEN 'tablet' THEN 1 ELSE 2 END ORDER BY _ord) AS turn
@@ -249,17 +249,14 @@ ORACLE = {
  SELECT model, capacity_gb FROM offers WHERE retailer = 'Home Store'"""),
     "w14_missing_vs_base": over_offers("""SELECT device_type, model, capacity_gb FROM offers WHERE retailer = 'Home Store'
  EXCEPT SELECT device_type, model, capacity_gb FROM offers WHERE retailer = 'Rentik'"""),
-    "w15_best_lines": f"""WITH lines AS (SELECT doc_id AS page_id, length(text) AS n, unnest(string_split(text, chr(10))) AS line,
+    "w15_best_lines": f"""WITH lines AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line,
  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 c AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, {norm('line')} AS tn FROM lines),
 s AS (SELECT *, 3 * len(list_filter(['the', 'le', 'la', 'en', 'pro'], lambda w: contains(tn, w)))
  + CASE WHEN regexp_matches(t, '(?i)\\d[\\d.,]{{1,10}}\\s?(?:€|eur)|€\\s?\\d') THEN 3 ELSE 0 END
  + CASE WHEN regexp_matches(t, 'https?://|\\]\\(|/dp/') THEN 2 ELSE 0 END
- + CASE WHEN regexp_matches(tn, '\\b\\d+\\s?(?:gb|tb)\\b') THEN 1 ELSE 0 END AS score FROM c WHERE n > 12000 AND t <> ''),
-k AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, line_no) <= 120),
-d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, tn ORDER BY line_no) = 1),
-b AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING
- AND 1 PRECEDING), 0) AS used FROM d)
-SELECT page_id, CAST(line_no AS INT) AS line_no, CAST(score AS INT) AS score, trim(substr(t, 1, CAST(12000 - used AS BIGINT))) AS line
-FROM b WHERE used < 12000""",
+ + CASE WHEN regexp_matches(tn, '\\b\\d+\\s?(?:gb|tb)\\b') THEN 1 ELSE 0 END AS score FROM c WHERE t <> ''),
+k AS (SELECT * FROM s QUALIFY score > 0 OR max(score) OVER (PARTITION BY page_id) = 0)
+SELECT page_id, CAST(line_no AS INT) AS line_no, CAST(score AS INT) AS score, t AS line
+FROM k QUALIFY row_number() OVER (PARTITION BY page_id, tn ORDER BY line_no) = 1""",
 }

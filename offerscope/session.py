@@ -26,13 +26,15 @@ def local_session(cores: int | str = "*", app: str = "offerscope") -> SparkSessi
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    Only when the session names no such folder (tests, laptops) is a local one chosen,
-    and then the session is told about it so checkpoints use it as well.
+    Only a local session (tests, laptops) that names no such folder gets one of its own, and is told
+    about it so checkpoints use it as well; on a cluster, where machines don't share disks, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="offerscope-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,16 +81,22 @@ def publish(
 ) -> DataFrame:
     """Dedupe, write the snapshot's partition, then its catalogue row. Fails when nothing is publishable.
 
-    The partition is overwritten as a whole, so a repeated run leaves one copy; readers only see the
-    snapshot once its catalogue row, written last, exists.
+    The rows are written aside and checked first, so a run with nothing to publish leaves an earlier
+    partition as it is. The partition is overwritten as a whole, so a repeated run leaves one copy; readers
+    only see the snapshot once its catalogue row, written last, exists.
     """
     target = f"{root.rstrip('/')}/history"
     rows = dedupe_by_quality(records).select(*fixed.CANONICAL_COLUMNS)
-    rows.write.mode("overwrite").parquet(f"{target}/snapshot_id={snapshot_id}")
+    aside = f"{root.rstrip('/')}/staging/{snapshot_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    checked = spark.read.schema(rows.schema).parquet(aside)
+    if checked.isEmpty():
+        raise RuntimeError("no publishable rows")
+    checked.write.mode("overwrite").parquet(f"{target}/snapshot_id={snapshot_id}")
     written = spark.read.parquet(f"{target}/snapshot_id={snapshot_id}")
     count = written.agg(F.count("*").alias("n"))
-    if written.isEmpty():
-        raise RuntimeError("no publishable rows")
+    staged = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
     raw = F.lit(raw_record_count) if raw_record_count is not None else records.agg(F.count("*")).scalar()
     meta = count.select(
         F.lit(snapshot_id).alias("id"), F.lit(created_at).alias("created_at"), F.lit(mode).alias("mode"),

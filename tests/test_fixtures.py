@@ -292,3 +292,37 @@ def test_price_in_text(spark):
     assert all(r.want == r.got for r in got.collect())
 
 
+
+
+def test_page_digest_keeps_short_and_hitless_pages(spark):
+    from offerscope.operators.pages import best_lines
+
+    rows = [(1, "nothing here\nnor here\nnothing  HERE", ["pro"]), (2, "galaxy pro\nfiller\n128 gb", ["pro"]), (3, None, ["pro"])]
+    pages = spark.createDataFrame(rows, "page_id long, text string, terms array<string>")
+    got = sorted((r.page_id, r.line_no, r.line) for r in best_lines(pages).collect())
+    assert got == [(1, 0, "nothing here"), (1, 1, "nor here"), (2, 0, "galaxy pro"), (2, 2, "128 gb")]
+    short = sorted((r.page_id, r.line_no) for r in best_lines(pages, 100, 1).collect())
+    assert short == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    cut = sorted((r.page_id, r.line) for r in best_lines(pages, 12, 1).collect())
+    assert cut == [(1, "nor"), (1, "nothing here")] or cut == [(1, "nothing here"), (2, "galaxy pro")]
+
+
+def test_failed_publishing_keeps_the_snapshot(spark, sf, tmp_path):
+    from offerscope.sources.snapshots import publish
+    from offerscope.sources.tables import raw_offers
+
+    raw = N.canonicalize(raw_offers(spark, sf))
+    first = publish(spark, raw, str(tmp_path), "s1", "2026-01-01").count()
+    with pytest.raises(RuntimeError):
+        publish(spark, raw.limit(0), str(tmp_path), "s1", "2026-01-02", raw_record_count=0)
+    assert first and spark.read.parquet(f"{tmp_path}/history/snapshot_id=s1").count() == first
+
+
+def test_similarity_chain_settles(spark):
+    from offerscope.operators.grouping import leaders
+
+    n = 60
+    keys = spark.createDataFrame([(f"{i:04d}",) for i in range(n)], "id string")
+    edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(0, 5)], "a string, b string")
+    got = {r.id: r.leader for r in leaders(keys, edges).collect()}
+    assert len(got) == n and got["0001"] == "0000" and got["0004"] == "0004"
