@@ -35,8 +35,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="offerscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="offerscope-"))
+        root = context._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
