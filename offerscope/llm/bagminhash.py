@@ -11,8 +11,9 @@ to their weighted Jaccard similarity, and points later than the components' maxi
 probability 8e-5. Candidates are verified on the shingle multisets of the whole texts. No bucket is expanded
 into its pairs: first every text is compared with one bucket's least key, then with those of its other
 buckets that are not in its component yet, at last only members outside a bucket's largest component with
-members of other components, the likeliest pairs first. Links form components by contraction; every step is written to the shared
-folder.
+members of other components, the likeliest pairs first. Texts of buckets that are still in several components
+get a second, longer signature; what it shows to be clearly below the threshold is not verified. Links form
+components by contraction; every step is written to the shared folder.
 
 Defined results: equal texts are one class; null counts as empty; texts without words are like equal ones
 only; a text of one to four words is one shingle; class_id is the least doc_id of the class (null if none has
@@ -32,10 +33,10 @@ from offerscope.llm.repeats import Words, window_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 7, 40
-SKETCH = 280  # components with two bits each in a sketch
-SKETCH_SLACK = 5.0
-ESTIMATES = (0.84, 0.8, 0.76)  # what pairs are compared first, by the similarity that their sketches suggest
-SKETCHES = [f"_sketch_{i}" for i in range(-(-SKETCH // 32))]
+SKETCH = ROWS * BANDS  # components with two bits each in a sketch
+LONG = 1024  # and in the longer one
+SLACK = 5.0  # deviations by which a pair's sketches may differ more than those of a pair at the threshold
+ESTIMATES = (0.84, 0.8)  # what pairs are compared first, by the similarity that their longer sketches suggest
 SEEN = 500_000
 _BLOCK, _POINT, _PLACE, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -106,10 +107,14 @@ def _banded(winner: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
+def _columns(size: int) -> list[str]:
+    return [f"_sketch{size}_{i}" for i in range(-(-size // 32))]
+
+
 def _sketched(winner: np.ndarray) -> list[int]:
     """Two bits of each component, 32 components in a number."""
-    symbols = np.zeros(len(SKETCHES) * 32, dtype=np.uint64)
-    symbols[:SKETCH] = winner[:SKETCH] & np.uint64(3)
+    symbols = np.zeros(len(_columns(len(winner))) * 32, dtype=np.uint64)
+    symbols[: len(winner)] = winner & np.uint64(3)
     shifted = symbols.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
     return np.bitwise_or.reduce(shifted, axis=1).view(np.int64).tolist()
 
@@ -134,23 +139,46 @@ def signatures(keyed: DataFrame) -> DataFrame:
                 weights.append(int(counts.sum()))
                 sketches.append(_sketched(winner))
                 bands.append(_banded(winner))
-            wide = {name: ([s[i] for s in sketches], pa.int64()) for i, name in enumerate(SKETCHES)}
-            yield batches_of({"_key": (keys, pa.int64()), "_weight": (weights, pa.int64())} | wide | {"_bands": (bands, pa.list_(pa.int64()))})
+            yield batches_of(
+                {"_key": (keys, pa.int64()), "_weight": (weights, pa.int64())} | _sketch_arrays(sketches, SKETCH) | {"_bands": (bands, pa.list_(pa.int64()))}
+            )
 
-    made = keyed.select("_key", "_text").mapInArrow(signed, f"_key long, _weight long, {', '.join(f'{s} long' for s in SKETCHES)}, _bands array<long>")
+    made = keyed.select("_key", "_text").mapInArrow(signed, f"_key long, _weight long, {_sketch_schema(SKETCH)}, _bands array<long>")
     return made.dropDuplicates(["_key"])
 
 
-def _plausible(a: str, b: str, estimate: float | None = None):
-    """Condition that every pair at the threshold meets: sizes, and sketches within ``SKETCH_SLACK`` deviations;
+def long_sketches(texts: DataFrame) -> DataFrame:
+    """_key, _weight and a sketch of ``LONG`` components of every text; the texts have words and distinct keys."""
+
+    def sketched(batches: Batches):
+        words = Words()
+        for batch in batches:
+            made = [shingles(words, text) for text in texts_of(batch, "_text")]
+            weights = [int(counts.sum()) for _, counts in made]
+            sketches = [_sketched(signature(elements, counts, LONG)) for elements, counts in made]
+            yield batches_of({"_key": (batch.column("_key"), None), "_weight": (weights, pa.int64())} | _sketch_arrays(sketches, LONG))
+
+    return texts.select("_key", "_text").mapInArrow(sketched, f"_key long, _weight long, {_sketch_schema(LONG)}")
+
+
+def _sketch_schema(size: int) -> str:
+    return ", ".join(f"{name} long" for name in _columns(size))
+
+
+def _sketch_arrays(sketches: list[list[int]], size: int) -> dict[str, tuple[list[int], pa.DataType]]:
+    return {name: ([s[i] for s in sketches], pa.int64()) for i, name in enumerate(_columns(size))}
+
+
+def _plausible(a: str, b: str, size: int, estimate: float | None = None):
+    """Condition that every pair at the threshold meets: weights, and sketches within ``SLACK`` deviations;
     with an estimate, that the sketches suggest so much."""
     differ = (1 - THRESHOLD) * 3 / 4  # components that differ, and not by chance alike in two bits
-    most = int(SKETCH * differ + SKETCH_SLACK * (SKETCH * differ * (1 - differ)) ** 0.5)
+    most = int(size * differ + SLACK * (size * differ * (1 - differ)) ** 0.5)
     if estimate is not None:
-        most = int(SKETCH * (1 - estimate) * 3 / 4)
+        most = int(size * (1 - estimate) * 3 / 4)
     col = lambda side, name: F.col(f"{side}.{name}")
     odd = lambda x: F.bit_count((x.bitwiseOR(F.shiftright(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-    distance = sum(odd(col(a, n).bitwiseXOR(col(b, n))) for n in SKETCHES)
+    distance = sum(odd(col(a, n).bitwiseXOR(col(b, n))) for n in _columns(size))
     small, large = F.least(col(a, "_weight"), col(b, "_weight")), F.greatest(col(a, "_weight"), col(b, "_weight"))
     return (small >= THRESHOLD * large) & (distance <= most)
 
@@ -208,7 +236,7 @@ def _star(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     facts = signed.drop("_bands")
     pivots = facts.withColumnRenamed("_key", "_pivot").alias("p")
     known = pairs.select("_key", "_pivot").join(facts, "_key").alias("m").join(pivots, F.col("m._pivot") == F.col("p._pivot"))
-    return known.where(_plausible("m", "p")).select(F.col("m._pivot").alias("a"), F.col("m._key").alias("b"))
+    return known.where(_plausible("m", "p", SKETCH)).select(F.col("m._pivot").alias("a"), F.col("m._key").alias("b"))
 
 
 def near_links(keyed: DataFrame) -> DataFrame:
@@ -216,7 +244,7 @@ def near_links(keyed: DataFrame) -> DataFrame:
     signed = materialize(signatures(keyed), "signatures")
     bands = signed.select("_key", F.explode("_bands").alias("_band"))
     shared = bands.groupBy("_band").agg(F.min("_key").alias("_pivot"), F.max("_key").alias("_other")).where("_pivot < _other").drop("_other")
-    members = materialize(bands.join(shared, "_band").join(signed.drop("_bands"), "_key"), "members")
+    members = materialize(bands.join(shared, "_band"), "members")
     texts = materialize(keyed.select("_key", "_text").join(members.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]), "texts")
 
     # first each text against one pivot, which settles most; then against the pivots it isn't linked with
@@ -228,23 +256,30 @@ def near_links(keyed: DataFrame) -> DataFrame:
     apart = apart.join(other, "_pivot", "left").where(F.col("_root") != F.coalesce("_pivot_root", "_pivot"))
     links = materialize(links.unionByName(_verified(_star(apart, signed), texts)), "star")
 
+    members = materialize(_open(members, components(links)).drop("_root", "_main"), "open")
+    sketches = materialize(long_sketches(texts.join(members.select("_key").distinct(), "_key", "left_semi")), "sketches")
     for estimate in (*ESTIMATES, None):
-        between = _across(members, components(links), estimate)
+        between = _across(_open(members, components(links)), sketches, estimate)
         links = materialize(links.unionByName(_verified(between, texts)), "star")
     return components(links)
 
 
-def _across(members: DataFrame, roots: DataFrame, estimate: float | None) -> DataFrame:
-    """Pairs of different components that share a bucket: members outside the bucket's largest component with
-    those of the others. The likeliest pairs are taken first, since one link settles a text."""
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their _root and the bucket's largest one, _main."""
     placed = members.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
     sizes = placed.groupBy("_band", "_root").agg(F.count("*").alias("n"))
-    open_bands = sizes.groupBy("_band").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main"), F.count("*").alias("parts")).where("parts > 1").select("_band", "_main")
-    placed = materialize(placed.join(open_bands, "_band"), "open")
+    several = sizes.groupBy("_band").agg(F.max_by("_root", F.struct("n", "_root")).alias("_main"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(several.select("_band", "_main"), "_band")
+
+
+def _across(placed: DataFrame, sketches: DataFrame, estimate: float | None) -> DataFrame:
+    """Pairs of different components that share a bucket: members outside the bucket's largest component with
+    those of the others. The likeliest pairs are taken first, since one link settles a text."""
+    placed = materialize(placed.join(sketches, "_key"), "placed")
     outside, anyone = placed.where("_root <> _main").alias("x"), placed.alias("y")
     once = (F.col("y._root") == F.col("y._main")) | (F.col("x._key") < F.col("y._key"))
     untested = (F.col("x._key") != F.col("x._pivot")) & (F.col("y._key") != F.col("x._pivot"))
-    pairs = outside.join(anyone, (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested & _plausible("x", "y", estimate))
+    pairs = outside.join(anyone, (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested & _plausible("x", "y", LONG, estimate))
     return pairs.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
 
 
