@@ -258,6 +258,7 @@ def near_links(keyed: DataFrame) -> DataFrame:
 
     members = materialize(_open(members, components(links)).drop("_root", "_main"), "open")
     sketches = materialize(long_sketches(texts.join(members.select("_key").distinct(), "_key", "left_semi")), "sketches")
+    sketches = materialize(sketches.join(signed.select("_key", "_bands"), "_key"), "sketches")
     for estimate in (*ESTIMATES, None):
         between = _across(_open(members, components(links)), sketches, estimate)
         links = materialize(links.unionByName(_verified(between, texts)), "star")
@@ -274,13 +275,16 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _across(placed: DataFrame, sketches: DataFrame, estimate: float | None) -> DataFrame:
     """Pairs of different components that share a bucket: members outside the bucket's largest component with
-    those of the others. The likeliest pairs are taken first, since one link settles a text."""
+    those of the others, each in the first bucket that it shares (where one of them is that bucket's pivot, it was
+    compared before). The likeliest pairs are taken first, since one link settles a text."""
     placed = materialize(placed.join(sketches, "_key"), "placed")
     outside, anyone = placed.where("_root <> _main").alias("x"), placed.alias("y")
     once = (F.col("y._root") == F.col("y._main")) | (F.col("x._key") < F.col("y._key"))
     untested = (F.col("x._key") != F.col("x._pivot")) & (F.col("y._key") != F.col("x._pivot"))
-    pairs = outside.join(anyone, (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested & _plausible("x", "y", LONG, estimate))
-    return pairs.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
+    different = (F.col("x._band") == F.col("y._band")) & (F.col("x._root") != F.col("y._root")) & once & untested
+    first = F.array_intersect("x._bands", "y._bands")[0] == F.col("x._band")
+    pairs = outside.join(anyone, different & _plausible("x", "y", LONG, estimate) & first)
+    return pairs.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
