@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from offerscope.session import shared_dir
 
@@ -33,6 +33,14 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
+    """All rows of a table that has a proven bound, on the driver; beyond the bound an error, never a part."""
+    rows = df.take(bound + 1)
+    if len(rows) > bound:
+        raise RuntimeError(f"{what}: more than the {bound} rows that are possible")
+    return rows
+
+
 class Memo(dict):
     """Remembers a pure function of its key: between ``entries`` and twice as many recent keys."""
 

@@ -23,7 +23,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerscope.llm.common import table
+from offerscope.llm.common import bounded_rows, table
 
 CELLS = 1 << 13
 VIRTUAL_NODES = 48
@@ -84,7 +84,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, text: str = "text", key: str =
     cell = F.pmod(F.xxhash64(code), F.lit(CELLS)).cast("int")
     rows = docs.select(F.col(key), (F.octet_length(code) + 16).cast("long").alias("size"), F.crc32(code).alias("text_crc32"),
                        F.element_at(F.lit(arc_of), cell + 1).alias("_arc"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
-    groups = {(r["_arc"], r["_salt"]): r["n"] for r in rows.groupBy("_arc", "_salt").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("_arc", "_salt").agg(F.count("*").alias("n"))
+    groups = {(r["_arc"], r["_salt"]): r["n"] for r in bounded_rows(counted, len(owners) * SALTS, "arcs and salts")}
     counts, offsets = [0] * len(owners), []
     for arc, salt in sorted(groups):
         offsets.append((arc, salt, counts[arc]))

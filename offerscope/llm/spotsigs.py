@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerscope.llm.common import Batches, Memo, batches_of, mix64, table, texts_of
+from offerscope.llm.common import Batches, Memo, batches_of, bounded_rows, mix64, table, texts_of
 
 # Frequent function words of English, German, French and Spanish.
 ANCHORS = frozenset("""the of and to in is that was for it with as by on at from this are be or an have not
@@ -119,7 +119,8 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[int, int, list[int], list[int]
     low, high = (low, high) if low is not None else (0, 0)
     width = (high - low) // CELLS + 1
     cell = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("int")
-    counts = {r["cell"]: r["n"] for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
+    counted = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    counts = {r["cell"]: r["n"] for r in bounded_rows(counted, CELLS, "cells of ids")}
     total, seen, range_of = max(sum(counts.values()), 1), 0, []
     for at in range(CELLS):
         range_of.append(min(parts - 1, seen * parts // total))
@@ -142,8 +143,9 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own = F.element_at(F.lit(range_of), at + 1)
     if not used:
         return rows.select(F.lit(0).alias("_range"), F.lit(False).alias("_halo"), "doc_id", "_text")
-    firsts = {r["_range"]: r["first"] for r in rows.select(own.alias("_range"), "doc_id").groupBy("_range").agg(
-        F.when(F.max(F.col("doc_id").isNull()), F.lit(None)).otherwise(F.min("doc_id")).alias("first")).collect()}
+    least = rows.select(own.alias("_range"), "doc_id").groupBy("_range").agg(
+        F.when(F.max(F.col("doc_id").isNull()), F.lit(None)).otherwise(F.min("doc_id")).alias("first"))
+    firsts = {r["_range"]: r["first"] for r in bounded_rows(least, parts, "ranges of ids")}
     before = {used[i]: used[i - 1] for i in range(len(used))}  # the first range follows the last
     goes_to = F.array(own)
     halo = F.lit(None).cast("int")

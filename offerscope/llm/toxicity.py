@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerscope.llm.common import Batches, Memo, batches_of, mix64, table, texts_of
+from offerscope.llm.common import Batches, Memo, batches_of, bounded_rows, mix64, table, texts_of
 
 DIMENSION_BITS = 20
 SAMPLE_ROWS = 16_000
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
 
 def collect_weights(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """To the driver: at most one row per coordinate, however large the corpus."""
-    rows = model.collect()
+    rows = bounded_rows(model, (1 << DIMENSION_BITS) + 2, "weights")  # every coordinate, the intercept, the row count
     total = sum(r["seen"] for r in rows if r["coordinate"] == -1) or 1
     kept = sorted((r["coordinate"], r["weight"] / total) for r in rows if r["coordinate"] >= 0)
     return np.array([x[0] for x in kept], dtype=np.int32), np.array([x[1] for x in kept], dtype=np.float64)

@@ -7,7 +7,7 @@ is under the k-th best lower bound cannot qualify; the others are read exactly i
 bounds until the k-th exact score is better than what the rest can reach. Blocks return k rows per query
 at most, which are merged by rank.
 
-Queries are broadcast in groups of at most ``QUERY_ROWS``; with more of them the candidates are scanned
+Queries are broadcast in groups of about ``QUERY_ROWS``; with more of them the candidates are scanned
 once per group, so the memory of a task depends on neither table.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor does a
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerscope.llm.common import Batches, batches_of, table
+from offerscope.llm.common import Batches, batches_of, bounded_rows, table
 
 QUERY_ROWS = 2048
 CELLS = 255
@@ -96,7 +96,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     grouped = queries.distinct().withColumn("_group", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)))
     found = None
     for group in range(groups):
-        rows = grouped.where(F.col("_group") == group).drop("_group").collect()  # about QUERY_ROWS rows
+        # dealt by hash, QUERY_ROWS on average; twice as many have a probability below 1e-300
+        rows = bounded_rows(grouped.where(F.col("_group") == group).drop("_group"), 2 * QUERY_ROWS, "queries of a group")
         shared = spark.sparkContext.broadcast([(r["vec_id"], list(r["v"])) for r in rows])
 
         def scan(batches: Batches, shared=shared):
