@@ -6,8 +6,12 @@ page that carried them, so they are sorted and cut in place; anything across pag
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerscope.functions.capacity import largest_mention, small_number_is_tb, standard_sizes
 from offerscope.functions.numbers import round_half_up, to_double
@@ -26,7 +30,8 @@ INSTALMENTS = ("data struct<installmentCalculations:struct<installments:array<st
                "monthlyRate:double>>>>")
 LINKED = ("name string, sku string, hasVariant array<struct<sku:string, name:string, "
           "additionalProperty:array<struct<value:string>>, offers:struct<price:string, url:string, "
-          "availability:string>>>, offers struct<price:string, url:string, availability:string>")
+          "availability:string>>>, offers struct<price:string, url:string, availability:string>, "
+          "object struct<sku:string, name:string, offers:struct<price:string, url:string, availability:string>>")
 SELECTION = ("products array<struct<familyType:string, dimensionCapacity:string, fullPrice:string>>, "
              "displayValues struct<prices:map<string, struct<currentPrice:struct<raw_amount:string>, "
              "amountBeforeTradeIn:string>>>")
@@ -101,20 +106,28 @@ def instalment_list(payloads: DataFrame) -> DataFrame:
         F.col("p.duration").alias("term_months")).distinct()
 
 
-LINKED_BLOCK = r'(?s)<script type="application/ld\+json">(.*?)</script>'
+LINKED_BLOCK = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 
 
 def linked_data(pages: DataFrame) -> DataFrame:
-    """Products and variants of structured-data script blocks, one row per priced variant."""
+    """Products and variants of structured-data script blocks, one row per priced variant.
+
+    A block holds one item or a list of them; an item without offers of its own may be an action whose
+    ``object`` is the product. ``place`` counts through all variants of a block.
+    """
     blocks = pages.select("page_id", F.posexplode(
         F.regexp_extract_all("html", F.lit(LINKED_BLOCK), 1)).alias("block", "json"))
-    d = blocks.select("page_id", "block", F.from_json("json", LINKED).alias("d"))
-    own = F.struct(
-        F.col("d.sku").alias("sku"), F.col("d.name").alias("name"),
-        F.lit(None).cast("array<struct<value:string>>").alias("additionalProperty"), F.col("d.offers").alias("offers"))
-    has = F.coalesce(F.size("d.hasVariant") > 0, F.lit(False))
-    items = F.when(has, F.col("d.hasVariant")).otherwise(F.array(own))
-    rows = d.select("page_id", "block", F.posexplode(items).alias("place", "v"))
+    # One object under an array schema is read as a list of one.
+    d = blocks.select("page_id", "block", F.from_json("json", T.ArrayType(T.StructType.fromDDL(LINKED))).alias("d"))
+
+    def variants(item: Column) -> Column:
+        own = F.struct(
+            F.coalesce(item["sku"], item["object"]["sku"]).alias("sku"), F.coalesce(item["name"], item["object"]["name"]).alias("name"),
+            F.lit(None).cast("array<struct<value:string>>").alias("additionalProperty"),
+            F.coalesce(item["offers"], item["object"]["offers"]).alias("offers"))
+        return F.when(F.size(item["hasVariant"]) > 0, item["hasVariant"]).otherwise(F.array(own))
+
+    rows = d.select("page_id", "block", F.posexplode(F.flatten(F.transform("d", variants))).alias("place", "v"))
     storage = F.array_join(F.transform("v.additionalProperty", lambda p: p["value"]), " ")
     available = F.lower(F.coalesce("v.offers.availability", F.lit("")))
     return rows.select(
@@ -267,18 +280,42 @@ def positional_pairs(pages: DataFrame) -> DataFrame:
     return flat.where("capacity_gb > 0 AND price > 0").groupBy("page_id", "capacity_gb").agg(F.min_by("price", "i").alias("price"))
 
 
-PRODUCT_PATHS = ("products", "items", "models", "tiles", "results", "data")
+# --- fixed values: names under which product lists lie, and fields that mark a product ---
+PRODUCT_PATHS = ("products", "items", "models", "tiles", "edges", "nodes", "results", "hits", "data")
+PRODUCT_FIELDS = frozenset(("name", "title", "slug", "price", "sku", "minimumRentalPrice", "modelName", "modelCode"))
+
+
+def _first_product_list(payload: str | None) -> str | None:
+    """JSON of the first list, depth first and usual names first, whose first element looks like a product."""
+    try:
+        open_nodes = [json.loads(payload or "null")]
+    except (ValueError, RecursionError):
+        return None
+    while open_nodes:
+        node = open_nodes.pop()
+        if isinstance(node, list) and node and isinstance(node[0], dict) and not PRODUCT_FIELDS.isdisjoint(node[0]):
+            return json.dumps([item for item in node if isinstance(item, dict)])
+        if isinstance(node, dict):
+            named = [node[name] for name in PRODUCT_PATHS if name in node]
+            others = [value for name, value in node.items() if name not in PRODUCT_PATHS]
+            open_nodes.extend(reversed(named + others))
+    return None
 
 
 def product_lists(payloads: DataFrame) -> DataFrame:
-    """The first product list found along a table of JSON paths, up to three levels deep."""
-    one = [f"$.{a}" for a in PRODUCT_PATHS]
-    two = [f"$.{a}.{b}" for a in PRODUCT_PATHS for b in PRODUCT_PATHS]
-    paths = one + two + [f"$.data.{p[2:]}" for p in two]
-    found = F.coalesce(*[F.when(v.startswith("["), v) for v in (F.get_json_object("payload", p) for p in paths)])
-    items = F.from_json(found, "array<struct<modelName:string, name:string, modelCode:string, price:string>>")
+    """The products of each payload's first product list, at any depth and under any name.
+
+    Empty lists and lists of other things are passed over. Each payload is parsed once, in Arrow batches:
+    column expressions can't descend to a depth that is not known beforehand.
+    """
+
+    def first_lists(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_product_list)
+
+    found = F.pandas_udf(first_lists, T.StringType())("payload")
+    items = F.from_json(found, "array<struct<modelName:string, name:string, title:string, modelCode:string, price:string>>")
     rows = payloads.select("page_id", F.posexplode(items).alias("place", "item"))
-    return rows.select("page_id", "place", F.coalesce("item.modelName", "item.name").alias("name"),
+    return rows.select("page_id", "place", F.coalesce("item.modelName", "item.name", "item.title").alias("name"),
                        F.col("item.modelCode").alias("code"), parse_rival_price(F.col("item.price")).alias("price"))
 
 

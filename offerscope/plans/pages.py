@@ -46,7 +46,8 @@ SELECT_JSON = f"""'{{"products":[{{"familyType":"iphone17promax","dimensionCapac
 {{"familyType":"","dimensionCapacity":"1tb","fullPrice":"c"}}],"displayValues":{{"prices":{{"a":{{"currentPrice":{{"raw_amount":"'
  || CAST(p_retailprice AS STRING) || '"}}}},"b":{{"amountBeforeTradeIn":"' || {SIZE.format(880)} || '"}},"c":{{"currentPrice":
 {{"raw_amount":"1500.5"}}}}}}}}}}'""".replace("\n", " ")
-LIST_JSON = f"""CASE p_partkey % 3 WHEN 0 THEN '{{"products":[{{"name":"A","price":"' || CAST(p_retailprice AS STRING) || '"}}]}}'
+LIST_JSON = f"""CASE p_partkey % 3 WHEN 0 THEN '{{"products":[],"a":[{{"id":1}}],"b":{{"c":{{"d":{{"e":{{"f":{{"data":{{"list":[{{"name":"A","price":"'
+ || CAST(p_retailprice AS STRING) || '"}}]}}}}}}}}}}}}}}'
  WHEN 1 THEN '{{"data":{{"results":{{"items":[{{"modelName":"B","modelCode":"M1","price":"10,5"}},{{"name":"C","price":"20"}}]}}}}}}'
  ELSE '{{"empty":true}}' END"""
 

@@ -51,12 +51,7 @@ def _metadata(spark, sf, path):
 def s3(spark, sf):
     """Catalogue of documents named like the folders they are in; defaults fill what they lack."""
     path = _metadata(spark, sf, shared_dir(spark, "snapshots"))
-    raw = spark.read.schema(SN.METADATA).json(f"{path}/*").withColumn("_p", F.col("_metadata.file_path"))
-    folder = F.regexp_extract("_p", r"snapshot_id=([^/]+)/", 1)
-    out = raw.select(F.coalesce("id", folder).alias("snapshot_id"), "created_at", F.coalesce("mode", F.lit("scheduled")).alias("mode"),
-                     F.coalesce("brand_scope", F.lit("all")).alias("brand_scope"), "record_count")
-    newest = out.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id"))).scalar()
-    return out.withColumn("is_current", F.col("snapshot_id") == newest)
+    return SN.read_snapshots(spark, path, file="*").select("snapshot_id", "created_at", "mode", "brand_scope", "record_count", "is_current")
 
 
 def s5(spark, sf):
@@ -66,8 +61,7 @@ def s5(spark, sf):
     item = F.struct("retailer", F.when(F.col("bad") > 0, "failed").otherwise("passed").alias("status"), (F.col("bad") > 0).alias("blocked_publication"))
     docs = per.select(F.col("snapshot_id").alias("runtime_name"), F.lit("full").alias("mode"), F.array(item).alias("retailers"))
     docs.write.json(path)
-    lines = spark.read.schema(SN.REPORT).json(path)
-    return lines.select("runtime_name", F.inline("retailers")).select("runtime_name", "retailer", "status", "blocked_publication")
+    return SN.read_report(spark, path, multiline=False).select("runtime_name", "retailer", "status", "blocked_publication")
 
 
 def s6(spark, sf):
@@ -217,9 +211,8 @@ ORACLE = {
  FROM offers WHERE offer_type = 'cash'"""),
     "s18_legacy_rows": over_offers(f"SELECT retailer, model, capacity_gb, offer_type, {dbl('price_value')} AS price FROM offers WHERE brand = 'Brand#7' AND price_value IS NOT NULL"),
     "s19_seed": over_raw(CANON + " SELECT retailer, count(*) AS n FROM canon GROUP BY 1"),
-    "x1_price_changes": over_offers("""SELECT a.retailer, a.model, a.capacity_gb, a.offer_type, a.term_months, a.snapshot_id, CAST(a.p AS DOUBLE) AS price,
- CAST(b.p AS DOUBLE) AS previous FROM (SELECT retailer, model, capacity_gb, offer_type, term_months, snapshot_id, min(price_value) AS p FROM offers WHERE price_value IS NOT NULL GROUP BY ALL) a
- JOIN (SELECT retailer, model, capacity_gb, offer_type, term_months, snapshot_id, min(price_value) AS p FROM offers WHERE price_value IS NOT NULL GROUP BY ALL) b
- ON a.retailer = b.retailer AND a.model = b.model AND a.capacity_gb IS NOT DISTINCT FROM b.capacity_gb AND a.offer_type = b.offer_type
- AND a.term_months IS NOT DISTINCT FROM b.term_months AND CAST(strftime(CAST(a.snapshot_id || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS VARCHAR) = b.snapshot_id WHERE a.p <> b.p"""),
+    "x1_price_changes": over_offers("""SELECT * REPLACE (CAST(price AS DOUBLE) AS price, CAST(previous AS DOUBLE) AS previous) FROM (
+ SELECT retailer, model, capacity_gb, offer_type, term_months, snapshot_id, min(price_value) AS price,
+ lag(min(price_value)) OVER (PARTITION BY retailer, model, capacity_gb, offer_type, term_months ORDER BY snapshot_id) AS previous
+ FROM offers WHERE price_value IS NOT NULL GROUP BY retailer, model, capacity_gb, offer_type, term_months, snapshot_id) WHERE price <> previous"""),
 }

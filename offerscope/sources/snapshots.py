@@ -29,13 +29,16 @@ MANIFEST = (
 )
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """One row per ``<root>/<snapshot>/metadata.json`` with defaults; the newest is current."""
+def read_snapshots(spark: SparkSession, root: str, file: str = "metadata.json") -> DataFrame:
+    """One row per ``<root>/<snapshot>/<file>`` with defaults; the newest is current.
+
+    ``file`` may be a pattern. Folders may be named ``<snapshot>`` or ``snapshot_id=<snapshot>``.
+    """
     raw = (
-        spark.read.schema(METADATA).option("multiLine", True).json(f"{root.rstrip('/')}/*/metadata.json")
+        spark.read.schema(METADATA).option("multiLine", True).json(f"{root.rstrip('/')}/*/{file}")
         .withColumn("_path", F.col("_metadata.file_path"))
     )
-    folder = F.regexp_extract("_path", r"([^/]+)/metadata\.json$", 1)
+    folder = F.regexp_extract("_path", r"/(?:snapshot_id=)?([^/]+)/[^/]+$", 1)
     empty = F.array().cast("array<string>")
     out = raw.select(
         F.coalesce(F.nullif("id", F.lit("")), folder).alias("snapshot_id"),
@@ -48,7 +51,7 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce(F.nullif("published_record_count", F.lit(0)), "record_count", F.lit(0)).alias("published_record_count"),
         F.coalesce("selected_key_count", F.lit(0)).alias("selected_key_count"),
         F.coalesce("retailers_blocked", empty).alias("retailers_blocked"),
-        F.regexp_replace("_path", r"/metadata\.json$", "").alias("folder"), "files",
+        F.regexp_replace("_path", r"/[^/]+$", "").alias("folder"), "files",
     )
     newest = out.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id"))).scalar()
     return out.withColumn("is_current", F.col("snapshot_id") == newest)
@@ -69,9 +72,9 @@ def resolve_file(spark: SparkSession, folder: str, stated: str | None, default:
     return f"{folder}/{default}"
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Validation reports, one row per retailer."""
-    df = spark.read.schema(REPORT).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Validation reports, one row per retailer; one document per file, or per line."""
+    df = spark.read.schema(REPORT).option("multiLine", multiline).json(path)
     return df.select("runtime_name", F.col("mode").alias("run_mode"), F.inline("retailers"))
 
 

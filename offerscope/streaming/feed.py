@@ -5,11 +5,10 @@ Both are our own addition: the batch operators applied to micro-batches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerscope import fixed
-from offerscope.operators.joins import join_null_safe
 from offerscope.operators.merge import merge_validated, selected_keys
 from offerscope.operators.ordering import validation_sample
 from offerscope.operators.validate import gate
@@ -43,17 +42,15 @@ def merge_batches(stream: DataFrame, root: str, base: str = fixed.DEFAULT_BASE):
 
 
 def price_changes(offers: DataFrame) -> DataFrame:
-    """Price against the same product's previous snapshot at the same retailer, batch or per batch.
+    """Price against the previous snapshot in which the same retailer offered the same product.
 
-    The previous snapshot of each is found by an equi join on its running number, so a product with a
-    very long history is not gathered in one task.
+    Snapshots are ordered by their id as text, whatever its form. The window runs over one aggregated row
+    per product and snapshot, so a product's group is as long as the catalogue of snapshots at most.
     """
     key = ["retailer", "model", "capacity_gb", "offer_type", "term_months"]
     per = offers.where("price_value IS NOT NULL").groupBy(*key, "snapshot_id").agg(F.min("price_value").alias("price"))
-    months = F.substring("snapshot_id", 1, 4).cast("int") * 12 + F.substring("snapshot_id", 6, 2).cast("int")
-    numbered = per.withColumn("_at", months)
-    before = numbered.select(*key, (F.col("_at") + 1).alias("_at"), F.col("price").alias("previous"))
-    return join_null_safe(numbered, before, [*key, "_at"]).where("price <> previous").select(
+    before = F.lag("price").over(Window.partitionBy(*key).orderBy("snapshot_id"))
+    return per.withColumn("previous", before).where("price <> previous").select(
         *key, "snapshot_id", F.col("price").cast("double").alias("price"), F.col("previous").cast("double").alias("previous"))
 
 

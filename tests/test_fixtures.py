@@ -318,6 +318,54 @@ def test_failed_publishing_keeps_the_snapshot(spark, sf, tmp_path):
     assert first and spark.read.parquet(f"{tmp_path}/history/snapshot_id=s1").count() == first
 
 
+def test_product_list_at_any_depth(spark):
+    from offerscope.operators.payloads import product_lists
+
+    deep = '{"name":"Z"}'
+    deep = f'[{deep}]'
+    for i in range(40):
+        deep = f'{{"k{i}":{deep}}}'
+    rows = [(1, '{"products":[],"data":{"items":[{"name":"A","price":"1,5"}]}}'), (2, deep), (3, '[{"title":"T"},7,{"name":"U"}]'),
+            (4, '{"other":{"list":[{"name":"late"}]},"items":[{"sku":"1","name":"first"}]}'), (5, '{"a":[{"id":1}]}'), (6, "{"), (7, ""), (8, None)]
+    found = product_lists(spark.createDataFrame(rows, "page_id long, payload string")).collect()
+    assert sorted((r.page_id, r.place, r.name) for r in found) == [(1, 0, "A"), (2, 0, "Z"), (3, 0, "T"), (3, 1, "U"), (4, 0, "first")]
+    assert [r.price for r in found if r.page_id == 1] == [1.5]
+
+
+def test_linked_data_shapes(spark):
+    from offerscope.operators.payloads import linked_data
+
+    offer = '"offers":{"price":"10","url":"/u","availability":"https://schema.org/InStock"}'
+    rows = [(1, f'<script type="application/ld+json">[{{"name":"A 128 GB",{offer}}},{{"name":"B",{offer}}}]</script>'),
+            (2, f"<script id='x' type='application/ld+json' async>{{\"name\":\"C\",{offer}}}</script>"),
+            (3, f'<script type="application/ld+json">{{"@type":"BuyAction","object":{{"name":"D",{offer}}}}}</script>'),
+            (4, f'<script type="application/ld+json">{{"hasVariant":[{{"name":"E",{offer}}},{{"name":"no price"}}]}}</script>'),
+            (5, '<script type="application/ld+json">{broken</script>'), (6, ""), (7, None)]
+    found = linked_data(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted((r.page_id, r.block, r.place, r.name, r.price, r.in_stock) for r in found) == [
+        (1, 0, 0, "A 128 GB", 10.0, True), (1, 0, 1, "B", 10.0, True), (2, 0, 0, "C", 10.0, True), (3, 0, 0, "D", 10.0, True), (4, 0, 0, "E", 10.0, True)]
+
+
+def test_price_change_after_a_missing_snapshot(spark):
+    from offerscope.streaming.feed import price_changes
+
+    df = offers(spark, dict(price_value=5, capacity_gb=None), dict(price_value=7, capacity_gb=None), dict(price_value=7, capacity_gb=None), dict(price_value=1))
+    ids = F.element_at(F.array(*[F.lit(x) for x in ("20260101_120000_a", "20260301_120000_b", "20260301_130000_c", "20260301_120000_b")]), F.col("_ord").cast("int") + 1)
+    got = [(r.snapshot_id, r.previous, r.price) for r in price_changes(df.withColumn("snapshot_id", ids)).collect()]
+    assert got == [("20260301_120000_b", 5.0, 7.0)]
+
+
+def test_capacity_decides_only_where_a_retailer_requires_it(spark):
+    from offerscope.operators.matching import accept_candidate
+
+    hrefs = {"Media Markt": "https://www.mediamarkt.es/es/product/x", "Fnac": "https://www.fnac.es/x", "PcComponentes": "https://www.pccomponentes.com/x",
+             "Samsung Oficial": "https://www.samsung.com/es/x", "Amazon": "https://www.amazon.es/dp/x", "Grover": "https://www.grover.com/es-es/products/x"}
+    rows = [(n, f"Samsung Galaxy S25 {size} GB movil", h, size) for n, h in hrefs.items() for size in (256, 512)]
+    df = spark.createDataFrame(rows, "retailer string, text string, href string, size int")
+    ok = accept_candidate(F.col("retailer"), F.lit("Samsung"), F.lit("Galaxy S25"), F.lit(256), F.lit("mobile"), F.col("text"), F.col("href"))
+    assert sorted((r.retailer, r.size) for r in df.where(ok).collect()) == sorted((n, s) for n in hrefs for s in (256, 512) if s == 256 or n not in ("Amazon", "Grover"))
+
+
 def test_similarity_chain_settles(spark):
     from offerscope.operators.grouping import leaders
 
