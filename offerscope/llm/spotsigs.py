@@ -1,9 +1,10 @@
 """Document fingerprints: SpotSigs.
 
 Wherever a common word (an anchor) occurs, the chain of the next ``CHAIN`` content words, anchors left
-out, is a spot signature; a document's fingerprint is the multiset of its spots. With fewer than
-``MIN_SPOTS`` anchors in the text every word starts a chain, so short or anchorless texts have telling
-fingerprints as well.
+out, is a spot signature; a document's fingerprint is the multiset of its spots. A content word that no
+anchor's chain covers starts a chain of its own. So every content word is in a spot, short or anchorless
+texts have telling fingerprints as well, and the rule looks at the words around a place only, never at the
+whole text: one word more, less or other changes the spots of at most 2 * ``CHAIN`` places.
 
 Two fingerprints are compared by multiset Jaccard. A pair of sizes m <= n cannot reach a similarity t if
 m < t * n, so fingerprints are partitioned by size and only those of the same or neighbouring partitions
@@ -38,7 +39,6 @@ ANCHORS = frozenset("""the of and to in is that was for it with as by on at from
  le la les de du des et est un une que dans pour qui sur par
  el los las y en es del al por con una se no su""".split())
 CHAIN = 3
-MIN_SPOTS = 8
 CELLS = 4096
 _NON_WORD = re.compile(r"[\W_]+")
 _FACTORS = mix64(np.arange(1, CHAIN + 1, dtype=np.uint64))
@@ -68,11 +68,12 @@ class Spots:
             return (np.array([whole], np.uint32), np.array([1], np.int64)) if text else (np.empty(0, np.uint32), np.empty(0, np.int64))
         padded = np.concatenate([content, np.zeros(CHAIN - 1, np.uint64)])
         chains = sum(padded[i:i + len(content)] * _FACTORS[i] for i in range(CHAIN))
-        if anchor.any():
-            starts = np.cumsum(~anchor)[anchor]  # content words up to an anchor: the next one's place
-            starts = starts[starts < len(content)]
-            chains = chains[starts] if len(starts) >= MIN_SPOTS else chains
-        return np.unique((mix64(chains) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        starts = np.cumsum(~anchor)[anchor]  # content words up to an anchor: the next one's place
+        times = np.bincount(starts, minlength=len(content))[:len(content)]
+        places = np.arange(len(content))
+        last = np.maximum.accumulate(np.where(times > 0, places, -CHAIN))
+        times[places - last >= CHAIN] = 1
+        return np.unique((mix64(np.repeat(chains, times)) >> np.uint64(32)).astype(np.uint32), return_counts=True)
 
 
 def size_partition(size: int, threshold: float) -> int:

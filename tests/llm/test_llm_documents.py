@@ -168,6 +168,25 @@ def test_spots_and_pruning():
                 assert abs(parts[0] - parts[1]) <= 1
 
 
+def test_one_changed_word_changes_its_own_chains_only():
+    spots, rnd, anchors = spotsigs.Spots(), random.Random(9), sorted(spotsigs.ANCHORS)
+    for n_anchors in (*range(13), 40, 150):
+        for length in (40, 300):
+            words = [f"w{rnd.randint(0, 10**6)}" for _ in range(length)]
+            for at in rnd.sample(range(length - 1), min(n_anchors, length // 2)):
+                words[at] = rnd.choice(anchors)
+            own = spots.of(" ".join(words))
+            before = collections.Counter(dict(zip(*map(np.ndarray.tolist, own))))
+            assert sum(before.values()) >= length // 4
+            for at in range(0, length, 7):
+                for new in ([], ["other"], ["the"], [words[at], "more"]):
+                    found = spots.of(" ".join(words[:at] + new + words[at + 1:]))
+                    after = collections.Counter(dict(zip(*map(np.ndarray.tolist, found))))
+                    assert len(before - after) <= 2 * spotsigs.CHAIN and len(after - before) <= 2 * spotsigs.CHAIN
+                    if length == 300:
+                        assert spotsigs.pruned_jaccard(own, found) > 0.8
+
+
 # repeats
 
 def repeats_by_hand(rows, window):
