@@ -18,6 +18,7 @@ its own; no document yields no piece at all.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -37,10 +38,12 @@ class Tokenizer:
     """Ids of a tokenizers file of byte-level BPE.
 
     The merges become ranks for tiktoken, which yields the same ids several times faster; tests hold them
-    against the tokenizers library.
+    against the tokenizers library. The file's added tokens are found in the text before it is split, the
+    leftmost and there the longest. ``encode_special_tokens`` is the library's setting of this name: they are
+    then text like any other. The library's own default is False, which the queries use.
     """
 
-    def __init__(self, definition: str, pattern: str):
+    def __init__(self, definition: str, pattern: str, encode_special_tokens: bool = True):
         import json
 
         import tiktoken
@@ -48,7 +51,8 @@ class Tokenizer:
         visible = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         hidden = [b for b in range(256) if b not in visible]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        model = json.loads(definition)["model"]
+        file = json.loads(definition)
+        model = file["model"]
         vocabulary = model["vocab"]
         singles = sorted((t for t in vocabulary if len(t) == 1), key=vocabulary.get)
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
@@ -60,8 +64,18 @@ class Tokenizer:
                 ids.append(vocabulary[token])
         self.encoding = tiktoken.Encoding("documents", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.ids = np.array(ids, dtype="<u4")
+        added = file.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in added):
+            raise ValueError("added tokens other than special ones that are found as they are")
+        self.added = {} if encode_special_tokens else {t["content"]: t["id"] for t in added}
+        self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def encode(self, text: str, end: int) -> np.ndarray:
+        parts = self.splitter.split(text) if self.splitter else [text]  # text and added tokens in turn
+        if len(parts) > 1:
+            ordinary = [self.encode(part, end)[:-1] for part in parts[::2]]
+            found = [np.array([self.added[part]], dtype="<u4") for part in parts[1::2]] + [np.array([end], dtype="<u4")]
+            return np.concatenate([x for pair in zip(ordinary, found, strict=True) for x in pair])
         out = np.empty(len(ranked := self.encoding.encode_to_numpy(text, disallowed_special=())) + 1, dtype="<u4")
         np.take(self.ids, ranked, out=out[:-1])
         out[-1] = end
@@ -69,8 +83,8 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(definition: str, pattern: str) -> Tokenizer:
-    return Tokenizer(definition, pattern)
+def _tokenizer(definition: str, pattern: str, encode_special_tokens: bool) -> Tokenizer:
+    return Tokenizer(definition, pattern, encode_special_tokens)
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -157,7 +171,7 @@ def plan_block(sizes: list[int], window: int, slack: int) -> list[tuple[int, int
 
 
 def pack(df: DataFrame, definition: str, pattern: str, end: int = 1, window: int = WINDOW, slack: int = 0, text: str = "text",
-         keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+         keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, encode_special_tokens: bool = True) -> DataFrame:
     """One row per piece: ``keep`` columns, start, length, ids (unless left out), ids_crc32, doc_tokens, sequence_id, offset.
 
     ``slack`` is how many tokens of padding a window of whole remainders may have; the tokenizer file is
@@ -167,7 +181,7 @@ def pack(df: DataFrame, definition: str, pattern: str, end: int = 1, window: int
     narrow = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
 
     def packed(batches: Batches):
-        tokenizer = _tokenizer(shared.value, pattern)
+        tokenizer = _tokenizer(shared.value, pattern, encode_special_tokens)
         base = TaskContext.get().partitionId() << 36
         rows: list[pa.RecordBatch] = []
         ids: list[np.ndarray] = []
@@ -215,7 +229,7 @@ def pack_documents(docs: DataFrame, with_ids: bool) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
-    return pack(docs, definition, public_tokenizers.PATTERN, with_ids=with_ids)
+    return pack(docs, definition, public_tokenizers.PATTERN, with_ids=with_ids, encode_special_tokens=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import zlib
 
@@ -88,6 +89,38 @@ def test_ids_equal_library(byte_bpe):
         assert own.encode(text, 1).tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
 
 
+def test_added_tokens_equal_library_by_default(spark):
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        own = packing.Tokenizer(file.read(), public_tokenizers.PATTERN, encode_special_tokens=False)
+    made = ["".join(rnd.choice([*PIECES, "<|endoftext|>", "<|endoftext|>", "<|endof", "|>"]) for _ in range(rnd.randint(0, 9))) for _ in range(4000)]
+    for text in ["a<|endoftext|> b", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  b", *made]:
+        assert own.encode(text, 1).tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
+    assert own.encode("a<|endoftext|> b", 1).tolist() == [64, 50256, 275, 1]
+    rows = packing.pack_documents(spark.createDataFrame([(1, "a<|endoftext|> b"), (2, None)], SCHEMA).coalesce(1), with_ids=True).collect()
+    for key, ids in ((1, [64, 50256, 275, 1]), (2, [1])):
+        assert [i for _, part in sorted((r.start, r.ids) for r in rows if r.doc_id == key) for i in part] == ids
+        assert {r.doc_tokens for r in rows if r.doc_id == key} == {len(ids)}
+
+
+def test_overlapping_added_tokens_equal_library(byte_bpe):
+    definition = json.loads(byte_bpe[0])
+    flags = dict(single_word=False, lstrip=False, rstrip=False, normalized=False, special=True)
+    definition["added_tokens"] += [dict(id=50257 + i, content=c, **flags) for i, c in enumerate(["xyx", "xyxyx", "yx<|", "<|endof"])]
+    for setting in (False, True):
+        own = packing.Tokenizer(json.dumps(definition), public_tokenizers.PATTERN, setting)
+        library = Tokenizer.from_str(json.dumps(definition))
+        library.encode_special_tokens = setting
+        rnd = random.Random(9)
+        for _ in range(2000):
+            text = "".join(rnd.choice(["x", "y", "xy", " ", "<|", "<|endof", "<|endoftext|>", "a"]) for _ in range(rnd.randint(0, 9)))
+            assert own.encode(text, 1).tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
+    definition["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        packing.Tokenizer(json.dumps(definition), public_tokenizers.PATTERN, False)
+
+
 def test_closest_fill_is_optimal():
     rnd = random.Random(5)
     for _ in range(300):
