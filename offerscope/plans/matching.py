@@ -49,10 +49,23 @@ def names(spark, sf):
 def classes(spark, sf):
     t = titles(spark, sf).select("name").distinct()
     n = F.col("name")
-    return t.select("name", X.category(n, F.lit("Samsung")).alias("category"), X.device_type(n).alias("device"), X.galaxy_model(n).alias("model"),
+    return t.select("name", X.category(n, F.lit("Samsung")).alias("category"), X.device_type(n).alias("device"), X.model_for_brand(n, F.lit("Samsung")).alias("model"),
                     X.connectivity_signature(n).alias("signature"), X.in_focus(F.lit("mobile"), F.lit("Samsung"), n).alias("focus"))
 
 
+APPLE_TITLE = """CASE p_partkey % 8 WHEN 0 THEN 'Apple iPhone ' || CAST(p_partkey % 4 + 14 AS STRING) || ' pro max 256 GB ' || p_name
+ WHEN 1 THEN '<b>APPLE iphone</b> 17 air, 512GB' WHEN 2 THEN 'iPad ' || element_at(array('Pro', 'air', 'mini', '10th gen'), p_size % 4 + 1) || ' 11" chip M' || CAST(p_partkey % 5 + 1 AS STRING) || ' WiFi + Cellular 1TB'
+ WHEN 3 THEN 'Portátil Apple macbook ' || element_at(array('Air', 'PRO'), p_size % 2 + 1) || ' 14" M4 pro 24GB RAM' WHEN 4 THEN 'Apple iMac 24 M' || CAST(p_partkey % 5 + 1 AS STRING) || ' ' || p_name
+ WHEN 5 THEN 'Mac mini m4 256GB' WHEN 6 THEN 'Apple Mac Studio M2 Ultra' ELSE 'Apple ' || p_name END"""
+
+
+def brand_models(spark, sf):
+    """The model name in titles of both brands, by the extractor of the brand."""
+    galaxy = titles(spark, sf).select(F.expr("CASE WHEN name LIKE 'Apple%' THEN 'Apple' ELSE 'Samsung' END").alias("brand"), "name")
+    t = galaxy.union(read_table(spark, sf, "part").select(F.lit("Apple"), F.expr(APPLE_TITLE))).distinct()
+    return t.select("brand", "name", X.model_for_brand(F.col("name"), F.col("brand")).alias("model"))
+
+
 def pairs(spark, sf):
     """Titles beside the target of the same part: candidates a search for the target returned."""
     li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
@@ -173,6 +186,7 @@ QUERIES = {
     "f9_suggestions": f9,
     "f10_outcome": lambda spark, sf: M.outcome(queries_offers(spark, sf)),
     "f11_f12_classes": classes,
+    "f12_brand_models": brand_models,
     "f14_connectivity_clash": lambda spark, sf: pairs(spark, sf).select("model", "title", X.connectivity_clash(F.col("model"), F.col("title")).alias("clash"),
                                                                         X.family_matches(F.col("title"), F.col("model")).alias("family"), X.variant_clash(F.col("title"), F.col("model")).alias("variant")).distinct(),
     "f15_search_cards": f15,
