@@ -6,7 +6,9 @@ exactly zero, so what is broadcast for scoring is small and bounded by the numbe
 
 Training. About ``sample_rows`` labelled documents at most (a hash of doc_id decides which, at a rate that
 follows the number of labels) are dealt to ``shards``; each shard learns on its own and the weights are
-averaged. Toxic rows count ``TOXIC_WEIGHT`` times, since they are the rarer ones. Scoring is a
+averaged. Every row of the sample is learnt from in ``EPOCHS`` passes: the first pass writes its features to
+an unnamed file of the task, which the others read, so memory does not depend on the length of the texts.
+Toxic rows count ``TOXIC_WEIGHT`` times, since they are the rarer ones. Scoring is a
 map over all documents, whole texts.
 
 Defined results: null and empty texts have no features and get the score of the intercept; several labels
@@ -17,6 +19,7 @@ any label every score is 0.5. Columns of the input named like a result are repla
 from __future__ import annotations
 
 import re
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,6 @@ SHARDS = 1
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 TOXIC_WEIGHT = 2.0
-HELD_FEATURES = 12_000_000
 _NON_WORD = re.compile(r"[\W_]+")
 _WORD, _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT = np.uint64(64 - DIMENSION_BITS)
@@ -117,19 +119,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_order")
 
     def learnt(batches: Batches):
-        features, model, held, size, rows = Features(), Ftrl(), [], 0, 0
-        for batch in batches:
-            for label, text in zip(batch.column("_label").to_pylist(), texts_of(batch, "_text"), strict=True):
-                present = features.present(text)
-                model.learn(present, label)
-                rows += 1
-                if size < HELD_FEATURES:  # what further passes see again; the rest is learnt once
-                    held.append((present, label))
-                    size += len(present)
-        for _ in range(EPOCHS - 1):
-            for present, label in held:
-                model.learn(present, label)
-        if rows:
+        features, model, held = Features(), Ftrl(), []
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                for label, text in zip(batch.column("_label").to_pylist(), texts_of(batch, "_text"), strict=True):
+                    present = features.present(text)
+                    model.learn(present, label)
+                    file.write(present)
+                    held.append((len(present), label))
+            for _ in range(EPOCHS - 1):
+                file.seek(0)
+                for size, label in held:
+                    model.learn(np.frombuffer(file.read(4 * size), dtype=np.int32), label)
+        if rows := len(held):
             at, weights = model.nonzero()
             yield batches_of({"coordinate": (at, pa.int32()), "weight": (weights * rows, pa.float64()), "seen": (np.full(len(at), rows), pa.int64())})
             yield batches_of({"coordinate": ([-1], pa.int32()), "weight": ([0.0], pa.float64()), "seen": ([rows], pa.int64())})

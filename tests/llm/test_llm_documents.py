@@ -301,6 +301,21 @@ def test_signatures_are_unbiased():
 
 # toxicity
 
+def test_every_sampled_row_gets_all_passes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_FEATURES", 500, raising=False)  # the former bound, reached by few rows
+    rnd = random.Random(10)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["vile" if i % 3 == 0 else "kind", *"abcdefgh"]) for _ in range(60))) for i in range(150)] + [(150, "")], SCHEMA)
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(151)], "doc_id long, quality int, toxic int")
+    rows = sorted(toxicity.training_sample(docs, labels).collect(), key=lambda r: r["_order"])
+    model, features = toxicity.Ftrl(), toxicity.Features()
+    for _ in range(toxicity.EPOCHS):
+        for r in rows:
+            model.learn(features.present(r["_text"]), r["_label"])
+    at, weights = toxicity.collect_weights(toxicity.train(docs, labels))
+    want = model.nonzero()
+    assert at.tolist() == want[0].tolist() and np.allclose(weights, want[1])
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     docs, labels = [], []
