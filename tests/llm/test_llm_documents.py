@@ -131,6 +131,24 @@ def test_ring(spark, copies):
     assert ring.shard_rows(spark.createDataFrame([], SCHEMA), 7).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1200])
+def test_cuts_of_an_arc_split_one_text_each(spark, copies):
+    rows = [(i, f"text {i // 2}") for i in range(6000)] + [(i, "hot") for i in range(copies)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = ring.shard_rows(docs, 7).collect()
+    assert len(got) == len(rows)
+    arc_of, _ = ring.arcs(7)
+    cells = docs.distinct().selectExpr("crc32(cast(text as binary)) as crc", "pmod(xxhash64(cast(text as binary)), %d) as c" % ring.CELLS).collect()
+    arc = {r.crc: arc_of[r.c] for r in cells}
+    by_text, by_arc = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        by_text[r.text_crc32].add(r.shard)
+        by_arc[arc[r.text_crc32]].add(r.shard)
+    cuts = sum(len(v) - 1 for v in by_arc.values())
+    split = sum(len(v) > 1 for v in by_text.values())
+    assert 0 < cuts and split <= cuts
+
+
 # fingerprints
 
 def test_edited_texts(spark, sf):
