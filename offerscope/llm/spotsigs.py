@@ -7,8 +7,10 @@ texts have telling fingerprints as well, and the rule looks at the words around
 whole text: one word more, less or other changes the spots of at most 2 * ``CHAIN`` places.
 
 Two fingerprints are compared by multiset Jaccard. A pair of sizes m <= n cannot reach a similarity t if
-m < t * n, so fingerprints are partitioned by size and only those of the same or neighbouring partitions
-meet; while two are compared, the comparison stops as soon as what is left cannot reach t any more.
+m < t * n, so alike fingerprints are in the same or neighbouring partitions of size (``size_partition``); a
+comparison with a threshold stops as soon as what is left cannot reach it any more. The query does not
+search for like pairs: it gives the exact likeness of fixed pairs, so its threshold is 0, nothing is pruned,
+and the partition is a column that nothing here joins on.
 
 The edited text needs the next document: rows are dealt into consecutive ranges of doc_id, each range also
 gets the first row of the next one, and one pass over the sorted range does the rest. Texts are
