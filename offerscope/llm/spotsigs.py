@@ -12,9 +12,10 @@ comparison with a threshold stops as soon as what is left cannot reach it any mo
 search for like pairs: it gives the exact likeness of fixed pairs, so its threshold is 0, nothing is pruned,
 and the partition is a column that nothing here joins on.
 
-The edited text needs the next document: rows are dealt into consecutive ranges of doc_id, each range also
-gets the first row of the next one, and one pass over the sorted range does the rest. Texts are
-shuffled once; a range is streamed.
+The edited text needs the next document: rows are dealt into consecutive ranges of doc_id and the beginning of
+the text, cut at quantiles of a sample, each range also gets the first row of the next one, and one pass over
+the sorted range does the rest. Texts are shuffled once; a range is streamed. Rows with the same id and the
+same first ``PREFIX`` characters stay in one range.
 
 Defined results: null counts as empty; an empty fingerprint is like an empty one (1) and unlike any other
 (0); null ids come first; rows of the same id are ordered by text; a single document is its own next.
@@ -23,11 +24,13 @@ Defined results: null counts as empty; an empty fingerprint is like an empty one
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,8 @@ ANCHORS = frozenset("""the of and to in is that was for it with as by on at from
  le la les de du des et est un une que dans pour qui sur par
  el los las y en es del al por con una se no su""".split())
 CHAIN = 3
-CELLS = 4096
+PREFIX = 64
+KEY = ["_known", "_id", "_prefix"]
 _NON_WORD = re.compile(r"[\W_]+")
 _FACTORS = mix64(np.arange(1, CHAIN + 1, dtype=np.uint64))
 
@@ -113,51 +117,36 @@ def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.frombuffer(base64.b64decode(fingerprint), dtype="<u4"), return_counts=True)
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[int, int, list[int], list[int]]:
-    """Least id, ids per cell, the range of every cell, and the cell where the next range's first row is.
-
-    From the counts of at most ``CELLS`` cells of equal width.
-    """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = (high - low) // CELLS + 1
-    cell = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("int")
-    counted = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    counts = {r["cell"]: r["n"] for r in bounded_rows(counted, CELLS, "cells of ids")}
-    total, seen, range_of = max(sum(counts.values()), 1), 0, []
-    for at in range(CELLS):
-        range_of.append(min(parts - 1, seen * parts // total))
-        seen += counts.get(at, 0)
-    return low, width, range_of, sorted(counts)
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[bool, int, str]]:
+    """Least keys of all ranges but the first, from quantiles of a sample; any bounds give the same results."""
+    wanted = 20 * parts
+    sampled = rows.select(*KEY).sample(min(1.0, wanted / max(rows.count(), 1)), seed=1)
+    keys = sorted(tuple(r) for r in bounded_rows(sampled, 2 * wanted + 1000, "sampled ids"))
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)} - {keys[0]}) if keys else []
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in ranges of ascending id, sorted within, each range followed by the first row of the next.
 
-    Columns: _range, _halo (that row), doc_id, _text.
+    Columns: _range, _halo (that row), doc_id, _text. A range is cut anywhere in the order by id and the first
+    ``PREFIX`` characters of the text, so outlying ids and ids of many texts are spread as well.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    low, width, range_of, filled = _ranges(docs.select("doc_id"), parts)
-    by_range: dict[int, int] = {}
-    for cell in filled:
-        by_range.setdefault(range_of[cell], cell)
-    used = sorted(by_range)
-    at = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("int")
-    own = F.element_at(F.lit(range_of), at + 1)
-    if not used:
-        return rows.select(F.lit(0).alias("_range"), F.lit(False).alias("_halo"), "doc_id", "_text")
-    least = rows.select(own.alias("_range"), "doc_id").groupBy("_range").agg(
-        F.when(F.max(F.col("doc_id").isNull()), F.lit(None)).otherwise(F.min("doc_id")).alias("first"))
-    firsts = {r["_range"]: r["first"] for r in bounded_rows(least, parts, "ranges of ids")}
-    before = {used[i]: used[i - 1] for i in range(len(used))}  # the first range follows the last
-    goes_to = F.array(own)
-    halo = F.lit(None).cast("int")
-    first_of = [firsts.get(r) for r in range(parts)]
-    before_of = [before.get(r, -1) for r in range(parts)]
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(F.lit(first_of).cast("array<bigint>"), own + 1))
-    halo = F.when(is_first, F.element_at(F.lit(before_of), own + 1))
-    copies = F.filter(F.array(F.struct(own.alias("r"), F.lit(False).alias("h")), F.struct(halo.alias("r"), F.lit(True).alias("h"))), lambda x: x["r"].isNotNull())
-    dealt = rows.withColumn("_to", F.explode(copies)).select(F.col("_to.r").alias("_range"), F.col("_to.h").alias("_halo"), "doc_id", "_text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumns({
+        "_known": F.col("doc_id").isNotNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_prefix": F.left("_text", F.lit(PREFIX))})
+    bounds = _bounds(rows, parts)
+
+    @F.pandas_udf("int")
+    def range_of(known: pd.Series, number: pd.Series, prefix: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, key) for key in zip(known.tolist(), number.tolist(), prefix.tolist(), strict=True)], dtype="int32")
+
+    rows = rows.withColumn("_range", range_of(*KEY))
+    least = {r["_range"]: r["least"] for r in bounded_rows(rows.groupBy("_range").agg(F.min(F.struct(*KEY)).alias("least")), len(bounds) + 1, "ranges of ids")}
+    used = sorted(least)
+    # of the rows with a range's least key the one of the least text goes to the range before, too; the first range follows the last
+    heads = [(used[i - 1], *least[used[i]]) for i in range(len(used))]
+    head = F.broadcast(docs.sparkSession.createDataFrame(heads, "_before int, _known boolean, _id long, _prefix string"))
+    halo = rows.join(head, KEY).groupBy("_before", "doc_id").agg(F.min("_text").alias("_text"))
+    dealt = rows.select("_range", F.lit(False).alias("_halo"), "doc_id", "_text").union(halo.select("_before", F.lit(True), "doc_id", "_text"))
     return dealt.repartition("_range").sortWithinPartitions("_range", "_halo", "doc_id", "_text")
 
 
@@ -167,17 +156,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compared(batches: Batches):
-        spots, held, held_range, complete = Spots(), None, None, True
+        spots, held, held_range = Spots(), None, None
         for batch in batches:
             out: list[tuple] = []
-            ranges, halos = batch.column("_range").to_pylist(), batch.column("_halo").to_pylist()
-            for number, halo, doc_id, text in zip(ranges, halos, batch.column("doc_id").to_pylist(), texts_of(batch, "_text"), strict=True):
-                if number == held_range and complete:
-                    continue  # further rows with the first id of the next range
+            for number, doc_id, text in zip(batch.column("_range").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch, "_text"), strict=True):
                 own = spots.of(text)
                 if number == held_range:
                     out.append(row(spots, *held, text, own))
-                held, held_range, complete = (doc_id, text, own), number, halo
+                held, held_range = (doc_id, text, own), number
             yield packed(out)
 
     def row(spots: Spots, doc_id, text: str, own, next_text: str, next_own) -> tuple:

@@ -168,6 +168,14 @@ def test_edited_texts(spark, sf):
     assert spotsigs.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(i, f"{i} text") for i in range(3000)] + [(10**12, "far")], [(7 if i % 3 else i, f"{i} text") for i in range(3000)] + [(None, "x")]])
+def test_ranges_are_even(spark, rows):
+    got = spotsigs.with_next(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    own, halo = collections.Counter(r["_range"] for r in got if not r["_halo"]), collections.Counter(r["_range"] for r in got if r["_halo"])
+    assert sum(own.values()) == len(rows) and len(own) == 8 and max(own.values()) < len(rows) / 4
+    assert halo == dict.fromkeys(own, 1)
+
+
 def test_spots_and_pruning():
     spots = spotsigs.Spots()
     text = "the red fox is in a deep wood and the old owl was at home " * 12
