@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "bpe", "chat", "packing", "spotsigs", "va_file", "ring", "repeats", "bagminhash", "wordpiece", "merkle", "prefix_trie")
+MODULES = ("toxicity", "bpe", "chat", "packing", "spotsigs", "va_file", "ring", "repeats", "bagminhash", "wordpiece", "merkle", "prefix_trie", "langid")
 
 
 def queries() -> dict:
