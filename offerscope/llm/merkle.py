@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerscope.llm.common import materialize, table
+from offerscope.llm.sqltext import CRC32_SQL
 from offerscope.llm.ordered import number_rows
 
 ARITY = 3
@@ -138,4 +139,39 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, claim=F.when(tampered, leaf_digest(claimed)).otherwise(leaf_digest([F.col(c) for c in FIELDS])))
 
 
+
+_FIELD = "coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_H = "sha256(" + " || ".join(_FIELD.format(c=c) for c in FIELDS[:-1]) + " || {text})"
+_SIBLINGS = "coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (o.pos {side} l.pos // pow3), '')"
+
+ORACLE = {"op13_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+ SELECT doc_id, coalesce('1' || source, '0') AS g, {_H.format(text=_FIELD.format(c="text"))} AS leaf,
+  CASE WHEN {CRC32_SQL.format(c="doc_id")} % 2 = 0 THEN {_H.format(text=_FIELD.format(c="replace(text, chr(10), '')"))} END AS changed
+ FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+nodes(g, level, pos, n, d) AS (
+ SELECT g, 0, pos, n, leaf FROM numbered
+ UNION ALL SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY g, level, pos // 3, n),
+subroots AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, n, d) AS (
+ SELECT 0, pos, n, d FROM subroots
+ UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+steps AS (
+ SELECT l.g, l.pos, o.level AS step, {_SIBLINGS.format(side="<")} AS l, {_SIBLINGS.format(side=">")} AS r
+ FROM numbered l JOIN (SELECT *, CAST(pow(3, level) AS BIGINT) AS pow3 FROM nodes WHERE n > 1) o ON o.g = l.g AND o.pos // 3 = l.pos // pow3 // 3
+ GROUP BY l.g, l.pos, o.level
+ UNION ALL
+ SELECT l.g, NULL, 1000 + o.level, {_SIBLINGS.format(side="<")}, {_SIBLINGS.format(side=">")}
+ FROM subroots l JOIN (SELECT *, CAST(pow(3, level) AS BIGINT) AS pow3 FROM tops WHERE n > 1) o ON o.pos // 3 = l.pos // pow3 // 3
+ GROUP BY l.g, l.pos, o.level),
+ways AS (
+ SELECT n.g, n.pos, coalesce(list(struct_pack(l := s.l, r := s.r) ORDER BY s.step) FILTER (s.step IS NOT NULL), []) AS way
+ FROM numbered n LEFT JOIN steps s ON s.g = n.g AND (s.pos = n.pos OR s.pos IS NULL) GROUP BY n.g, n.pos),
+proved AS (
+ SELECT n.doc_id, n.leaf, u.d AS subroot, t.d AS root, sha256(array_to_string(list_transform(w.way, lambda s: s.l || s.r), '')) AS proof_sha256,
+  list_reduce(list_prepend(struct_pack(l := coalesce(n.changed, n.leaf), r := ''), w.way), lambda a, s: struct_pack(l := sha256(s.l || a.l || s.r), r := '')).l AS folded_root
+ FROM numbered n JOIN ways w USING (g, pos) JOIN subroots u ON u.g = n.g JOIN tops t ON t.n = 1)
+SELECT *, folded_root = root AS verified FROM proved"""}
+
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from offerscope.llm.common import Batches, batches_of, materialize, mix64, table
 from offerscope.llm.ordered import deal, number, running_sums
+from offerscope.llm.sqltext import CRC32_SQL
 
 P = (1 << 31) - 1
 LANES = 3
@@ -223,4 +224,25 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+
+ORACLE = {"op11_prefix_trie": f"""
+WITH turns AS (
+ SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS m, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+ SELECT conv_id, list(m ORDER BY turn NULLS FIRST, unhex(sha256(strlen(m.r) || ':' || m.r || m.t))) AS ms,
+  CAST({CRC32_SQL.format(c="conv_id")} % 4 AS INTEGER) AS h FROM turns GROUP BY conv_id),
+rebuilt AS (
+ SELECT o.conv_id, list_concat(coalesce(b.ms, [])[1:o.h], o.ms[o.h + 1:]) AS ms FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (SELECT conv_id, len(ms) AS n, ms, unnest(range(len(ms) + 1)) AS depth FROM rebuilt),
+nodes AS (
+ SELECT ms[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+  CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(ms[depth].t), '[^\\x20\\x09-\\x0D]+')) END AS n_words
+ FROM prefixes GROUP BY 1, 2),
+below AS (
+ SELECT a.conv_id, a.depth, count(*) FILTER (b.depth = a.depth + 1) AS n_children, count(*) FILTER (b.leaf) AS n_leaves, CAST(sum((b.n_convs - 1) * b.n_words) AS BIGINT) AS saved_tokens
+ FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.k[1:a.depth] = a.k GROUP BY a.conv_id, a.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, w.n_children, w.n_leaves, w.saved_tokens, n.ends_sha256, CAST(n.n_words AS BIGINT) AS n_words
+FROM nodes n JOIN below w USING (conv_id, depth) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]"""}
+
 QUERIES = {"op11_prefix_trie": op11_prefix_trie}
