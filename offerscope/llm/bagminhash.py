@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerscope.llm.common import Batches, batches_of, materialize, mix64, table, texts_of
+from offerscope.llm.common import Batches, batches_of, materialize, mix64, packed, table, texts_of, unpacked
 from offerscope.llm.repeats import Words, window_hashes
 
 SHINGLE = 5
@@ -310,10 +310,11 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the least doc_id; of repeated rows one."""
     others = classes(docs).where("NOT is_first").select(F.col("doc_id").alias("_other"), F.col("_key").alias("_other_key")).distinct()
-    keyed = _keyed(docs)
-    kept = keyed.join(others, (F.col("_key") == F.col("_other_key")) & F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
-    number = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("_key"))
-    return kept.withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    rows = packed(docs, "text")
+    keyed = _keyed(rows.withColumnRenamed("_text", "text")).select("_row", F.col("text").alias("_text"), "_key", F.col("_row.doc_id").alias("_doc"))
+    kept = keyed.join(others, (F.col("_key") == F.col("_other_key")) & F.col("_doc").eqNullSafe(F.col("_other")), "left_anti")
+    number = F.row_number().over(Window.partitionBy("_key", "_doc").orderBy("_key"))
+    return unpacked(kept.withColumn("_number", number).where("_number = 1"), docs, "text")
 
 
 QUERIES = {"op9_bagminhash": op9_bagminhash}

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from offerscope.session import shared_dir
 
 MEMO_ENTRIES = 250_000
+MEMO_KEY = 64  # longer keys are worked out each time, so that entries bound the bytes too
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 _SPACE_BEFORE_TEXT = re.compile(r" (?=\S)")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -41,14 +43,28 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """The text as ``_text`` and all other columns in one struct ``_row``: whatever they are called, they can't clash
+    with columns that an operator adds."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("_row"), F.col(text).alias("_text"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, text: str, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``like`` from a packed table; ``changed`` gives new values of some."""
+    new = {text: F.col("_text")} | (changed or {})
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in like.columns))
+
+
 class Memo(dict):
-    """Remembers a pure function of its key: between ``entries`` and twice as many recent keys."""
+    """Remembers a pure function of its key: between ``entries`` and twice as many recent keys, none of them long."""
 
     def __init__(self, function: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.function, self.entries, self.older = function, entries, {}
 
     def __missing__(self, key):
+        if not isinstance(key, int) and len(key) > MEMO_KEY:
+            return self.function(key)
         if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()

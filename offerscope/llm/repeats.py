@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerscope.llm.common import Batches, Memo, batches_of, materialize, mix64, table
+from offerscope.llm.common import Batches, Memo, batches_of, materialize, mix64, packed, table, unpacked
 
 WINDOW = 35
 BLOCK = 1_000_000
@@ -207,17 +207,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", k
     hash). Result columns replace those of the same name."""
     added = ("n_words", "n_removed", "kept" if keep_text else "kept_sha256")
     columns = [c for c in docs.columns if c not in added]
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(text)).alias("_key"), *columns)
-    places = materialize(surviving_anchors(keyed, text, window), "anchors")
+    keyed = packed(docs.select(*(F.col(f"`{c}`") for c in columns)), text)
+    keyed = keyed.select(F.xxhash64(F.coalesce(F.col("_text"), F.lit("")), F.length("_text")).alias("_key"), "_row", "_text")
+    places = materialize(surviving_anchors(keyed, "_text", window), "anchors")
     # both joins below read the same exchange of the texts
-    unique = unique_windows(keyed.join(places.hint("shuffle_hash"), "_key"), text, window)
+    unique = unique_windows(keyed.join(places.hint("shuffle_hash"), "_key"), "_text", window)
     whole = keyed.join(places.hint("shuffle_hash"), "_key", "left").join(unique.hint("shuffle_hash"), "_key", "left")
 
     def cut(batches: Batches):
         words = Words()
         for batch in batches:
             totals, removed, kept = [], [], []
-            for value, places, unique in zip(_texts(batch, text), batch.column("_at").to_pylist(), batch.column("_unique").to_pylist(), strict=True):
+            for value, places, unique in zip(_texts(batch, "_text"), batch.column("_at").to_pylist(), batch.column("_unique").to_pylist(), strict=True):
                 split = value.split()
                 gone = covered(words, split, places, unique, window)
                 left = split if gone is None else [w for w, g in zip(split, gone.tolist(), strict=True) if not g]
@@ -225,11 +226,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", k
                 removed.append(len(split) - len(left))
                 joined = b" ".join(left)
                 kept.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
-            yield batches_of({c: (batch.column(c), None) for c in columns} | {
-                added[0]: (totals, pa.int64()), added[1]: (removed, pa.int64()), added[2]: (kept, pa.string())})
+            yield batches_of({c: (batch.column(c), None) for c in ("_row", "_text")} | {
+                "_words": (totals, pa.int64()), "_removed": (removed, pa.int64()), "_kept": (kept, pa.string())})
 
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType()), T.StructField(added[2], T.StringType())])
-    return whole.mapInArrow(cut, schema)
+    schema = T.StructType([keyed.schema["_row"], keyed.schema["_text"], T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType()), T.StructField("_kept", T.StringType())])
+    own = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return whole.mapInArrow(cut, schema).select(*own, *(F.col(f"_{name}").alias(c) for name, c in zip(("words", "removed", "kept"), added, strict=True)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,10 +241,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the words that repeated windows cover; documents that lose none keep their text."""
-    cut = without_repeats(docs.withColumnRenamed("text", "_text"), text="_text")
+    cut = without_repeats(packed(docs, "text"), text="_text")
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("_row.n_chars"))
+    return unpacked(cut, docs, "text", new)
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}

@@ -5,7 +5,7 @@ Features are the presence of words, neighbouring pairs and pairs with one word b
 exactly zero, so what is broadcast for scoring is small and bounded by the number of coordinates.
 
 Training. About ``sample_rows`` labelled documents at most (a hash of doc_id decides which, at a rate that
-follows the number of labels) are dealt to ``shards``; each shard learns on its own and the weights are
+follows the number of labels; of rows that share an id one is taken, by the hash of its text) are dealt to ``shards``; each shard learns on its own and the weights are
 averaged. Every row of the sample is learnt from in ``EPOCHS`` passes: the first pass writes its features to
 an unnamed file of the task, which the others read, so memory does not depend on the length of the texts.
 Toxic rows count ``TOXIC_WEIGHT`` times, since they are the rarer ones. Scoring is a
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerscope.llm.common import Batches, Memo, batches_of, bounded_rows, mix64, table, texts_of
+from offerscope.llm.common import Batches, Memo, batches_of, bounded_rows, mix64, packed, table, texts_of, unpacked
 
 DIMENSION_BITS = 20
 SAMPLE_ROWS = 16_000
@@ -108,9 +108,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     n = one.count()
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = one.where(point < int(min(1.0, sample_rows / max(n, 1)) * (1 << 30)))
-    chosen = chosen.limit(2 * sample_rows)  # never reached; it proves the bound of the broadcast
-    return docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").select(
-        F.xxhash64("doc_id", F.lit(7)).alias("_order"), F.col("_label").cast("int").alias("_label"), "_text")
+    if chosen.count() > 2 * sample_rows:
+        raise RuntimeError(f"a hash of doc_id chose more than twice the {sample_rows} rows meant")
+    rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id")
+    # an id that many rows share is learnt from once
+    rows = rows.groupBy("doc_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    return rows.select(F.xxhash64("doc_id", F.lit(7)).alias("_order"), F.col("_label").cast("int").alias("_label"), "_text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> DataFrame:
@@ -182,8 +185,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic, their columns unchanged."""
-    scored = score(docs, fit(spark, docs, sf_dir), result="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    scored = score(packed(docs, "text"), fit(spark, docs, sf_dir), text="_text", result="_toxicity")
+    return unpacked(scored.where("_toxicity < 0.5"), docs, "text")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

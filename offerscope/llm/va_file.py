@@ -13,7 +13,8 @@ once per group, so the memory of a task depends on neither table.
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor does a
 pair of different length; rows with the query's own id are no candidates of it; rows with a null id are
 neither queries nor candidates; equal scores go to the smaller id; repeated candidate rows count each.
-Scores are exact while the products stay below 2**53.
+Scores are 64-bit integers: the cells' bounds are widened by their rounding error, exact vectors are multiplied
+as integers, and an inner product that might not fit into 64 bits raises ``OverflowError``.
 """
 
 from __future__ import annotations
@@ -43,16 +44,24 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.low = vectors.min(axis=0)
-        self.width = np.maximum(np.ceil((vectors.max(axis=0) - self.low + 1) / CELLS), 1)
-        self.cells = ((vectors - self.low) // self.width).astype(np.uint8)
+        low, high = vectors.min(axis=0), vectors.max(axis=0)
+        self.low, self.most = low.astype(np.float64), np.maximum(np.abs(low.astype(np.float64)), np.abs(high.astype(np.float64)))
+        width = np.maximum(np.ceil((high.astype(np.float64) - self.low + 1) / CELLS * (1 + 2.0**-40)), 1)
+        self.cells = np.minimum((vectors.astype(np.float64) - self.low) // width, CELLS).astype(np.uint8)
+        self.width = width
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest inner product of each query with any vector in a candidate's cells."""
+        queries = queries.astype(np.float64)
+        size = np.abs(queries) @ (self.most + self.width)
+        if (size >= 2.0**63).any():
+            raise OverflowError("an inner product may not fit into 64 bits")
+        # sums below 2**53 have no rounding error; beyond, every term and addition may lose half a unit
+        slack = np.where(size < 2.0**53, 0.0, size * (queries.shape[1] + 8) * 2.0**-50)[:, None]
         floor = self.low + self.cells * self.width
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         base, reach = queries @ floor.T, self.width - 1
-        return base + (down @ reach)[:, None], base + (up @ reach)[:, None]
+        return base + (down @ reach)[:, None] - slack, base + (up @ reach)[:, None] + slack
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query position, vec_ids, scores) of the k best of every query."""
@@ -64,7 +73,7 @@ class Block:
             kth = np.partition(lower[at], n - k)[n - k] if n > k else -np.inf
             left = np.flatnonzero((upper[at] >= kth) & np.isfinite(upper[at]))
             left = left[np.lexsort((self.ids[left], -upper[at][left]))]
-            ids, scores = np.empty(0, np.int64), np.empty(0)
+            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
             for start in range(0, len(left), 4 * k):
                 if len(scores) == k and scores[-1] > upper[at][left[start]]:
                     break
@@ -83,7 +92,7 @@ def _blocks(batches: Batches):
             part = batch.slice(start, CANDIDATE_ROWS)
             ids, vectors = part.column("vec_id").to_numpy(zero_copy_only=False), part.column("v")
             lengths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lengths)
             for length in np.unique(lengths[lengths > 0]):
                 rows = np.flatnonzero(lengths == length)
                 yield Block(ids[rows], flat[(ends[rows] - length)[:, None] + np.arange(length)])
@@ -104,7 +113,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             by_length: dict[int, list] = {}
             for number, (query_id, vector) in enumerate(shared.value):
                 by_length.setdefault(len(vector), []).append((number, query_id, vector))
-            ready = {n: ([x[0] for x in q], np.array([x[1] for x in q]), np.array([x[2] for x in q], dtype=np.float64)) for n, q in by_length.items() if n}
+            ready = {n: ([x[0] for x in q], np.array([x[1] for x in q]), np.array([x[2] for x in q], dtype=np.int64)) for n, q in by_length.items() if n}
             kept: dict[int, tuple] = {}
             for block in _blocks(batches):
                 numbers, ids, vectors = ready.get(block.vectors.shape[1], ((), None, None))

@@ -53,4 +53,4 @@ def test_run(spark, sf):
 
 def test_registered():
     names = set(queries.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names - {"pipeline"}}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names - {"pipeline"}}
