@@ -148,38 +148,39 @@ def _ends(rows: DataFrame) -> DataFrame:
     dealt = rows.where("depth = length").select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     columns = ", ".join(f"{c} long" for c in _NODE)
 
-    def chunks(batches: Batches):
-        node, ids = None, []
+    kinds = [(c, pa.int64()) for c in _NODE]
 
-        def chunk() -> pa.RecordBatch:
-            return batches_of({c: ([v], pa.int64()) for c, v in zip(_NODE, node, strict=True)} | {"first": ([ids[0]], pa.int64()), "ids": ([",".join(map(str, ids))], pa.string())})
+    def table_of(rows: list[tuple], *more: tuple[str, pa.DataType]) -> pa.RecordBatch:
+        return batches_of({c: ([r[i] for r in rows], kind) for i, (c, kind) in enumerate([*kinds, *more])})
 
+    def chunks(batches: Batches):
+        node, ids = None, []
         for batch in batches:
+            done = []
             for *at, conv in zip(*(batch.column(c).to_pylist() for c in keys), strict=True):
                 if ids and (at != node or len(ids) == CHUNK_IDS):
-                    yield chunk()
+                    done.append((*node, ids[0], ",".join(map(str, ids))))
                     ids = []
                 node = at
                 ids.append(conv)
+            yield table_of(done, ("first", pa.int64()), ("ids", pa.string()))
         if ids:
-            yield chunk()
+            yield table_of([(*node, ids[0], ",".join(map(str, ids)))], ("first", pa.int64()), ("ids", pa.string()))
 
     def digested(batches: Batches):
         node, digest = None, None
-
-        def row() -> pa.RecordBatch:
-            return batches_of({c: ([v], pa.int64()) for c, v in zip(_NODE, node, strict=True)} | {"ends_sha256": ([digest.hexdigest()], pa.string())})
-
         for batch in batches:
+            done = []
             for *at, ids in zip(*(batch.column(c).to_pylist() for c in [*_NODE, "ids"]), strict=True):
                 if at != node:
                     if node is not None:
-                        yield row()
+                        done.append((*node, digest.hexdigest()))
                     node, digest = at, hashlib.sha256(ids.encode())
                 else:
                     digest.update(f",{ids}".encode())
+            yield table_of(done, ("ends_sha256", pa.string()))
         if node is not None:
-            yield row()
+            yield table_of([(*node, digest.hexdigest())], ("ends_sha256", pa.string()))
 
     chunked = dealt.mapInArrow(chunks, f"{columns}, first long, ids string")
     return chunked.repartition(*_NODE).sortWithinPartitions(*_NODE, "first").mapInArrow(digested, f"{columns}, ends_sha256 string")
