@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from offerscope.functions.numbers import pct_from
 from offerscope.functions.text import normalize_text
-from offerscope.operators.matching import GROUP_THRESHOLD, similar_pairs, sorted_words
+from offerscope.operators.likeness import similar_within
+from offerscope.operators.matching import GROUP_THRESHOLD, sorted_words
 from offerscope.session import cut_lineage
 
 # --- fixed values: words without weight, and how a model key is recognised ---
@@ -90,8 +91,7 @@ def group_products(products: DataFrame, threshold: float = GROUP_THRESHOLD) -> D
     # The arrival order of keys as a sortable id: rank by first appearance without a global window.
     ordered = first.select("model_key", F.concat_ws("|", F.lpad(F.col("_first").cast("string"), 20, "0"), "model_key").alias("id"))
     texts = ordered.select("id", sorted_words(F.col("model_key")).alias("text"))
-    found = similar_pairs(texts, texts, threshold).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    settled = leaders(ordered.select("id"), found)
+    settled = leaders(ordered.select("id"), similar_within(texts, threshold).select("a", "b"))
     names = ordered.join(settled, "id").join(
         ordered.select(F.col("id").alias("leader"), F.col("model_key").alias("group_key")), "leader")
     return keyed.join(names.select("model_key", "group_key"), "model_key")
