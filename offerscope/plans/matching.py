@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from offerscope.operators import features as X
 from offerscope.operators import grouping as G
 from offerscope.operators import matching as M
+from offerscope.plans import matching_sql as S
 from offerscope.plans.sqltext import norm, over_offers, r2
 from offerscope.sources.tables import offers, read_table, spread
 
@@ -151,8 +152,11 @@ def f6(spark, sf):
     return M.best_of_candidates(wanted, cands).select(F.col("l_id").alias("part"), F.col("r_id").alias("name"), (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
 
 
+HREF = f"'https://rentik.example/es/samsung-galaxy-s' || CAST(p_partkey AS STRING) || replace(replace(lower({VARIANT}), ' ', '-'), '+', '-plus') || '-5g256'"
+
+
 def hrefs(spark, sf):
-    return read_table(spark, sf, "part").select(F.expr(f"'https://rentik.example/es/samsung-galaxy-s' || CAST(p_partkey AS STRING) || replace(replace(lower({VARIANT}), ' ', '-'), '+', '-plus') || '-5g256'").alias("href"), F.col("p_partkey").alias("_ord"))
+    return read_table(spark, sf, "part").select(F.expr(HREF).alias("href"), F.col("p_partkey").alias("_ord"))
 
 
 def l8(spark, sf):
@@ -260,6 +264,11 @@ _SIZES = "list_transform(regexp_extract_all(lower(title), '\\b(64|128|256|512|10
 _SIG = """CASE WHEN regexp_matches(lower({x}), '\\bwi[\\s-]?fi\\b') AND regexp_matches(lower({x}), 'cellular|celular|\\b5g\\b') THEN 'wifi_cellular'
  WHEN regexp_matches(lower({x}), 'cellular|celular|\\b5g\\b') THEN 'cellular' WHEN regexp_matches(lower({x}), '\\bwi[\\s-]?fi\\b') THEN 'wifi' END"""
 
+_ADDITIVE = f"""CAST(CAST(contains(lower(title), 'samsung') AS INT)
+ + CAST(contains(lower(title), 'galaxy') AS INT) + 2 * len(list_filter(regexp_split_to_array(regexp_replace(lower(model), '\\b(samsung|galaxy|apple)\\b', ' ', 'g'),
+ '[^a-z0-9]+'), lambda w: w NOT IN ('', '5g', 'gb') AND contains(lower(title), w))) + CASE WHEN capacity IS NULL THEN 0 ELSE
+ CASE WHEN contains(title, CAST(capacity AS VARCHAR)) THEN 3 ELSE 0 END + CASE WHEN len({_SIZES}) = 0 THEN 0 WHEN list_contains({_SIZES}, capacity) THEN 2 ELSE -3 END END AS INT)"""
+
 ORACLE = {
     "f0_f4b_name_features": _TN + f""" SELECT name, clean, {_NUMS} AS numbers, {_TIERS} AS tiers,
  coalesce(nullif(regexp_extract(clean, '\\bgalaxy\\s+([asz])\\s*\\d{{1,2}}\\b', 1), ''), nullif(regexp_extract(clean, '\\b([asz])\\s*\\d{{1,2}}\\b', 1), '')) AS series,
@@ -267,11 +276,19 @@ ORACLE = {
  || coalesce(nullif(regexp_extract(lower(name), '\\bm\\d{{1,2}}\\s+(pro|max|ultra)\\b', 1), ''), 'base') END AS chip,
  regexp_matches(lower(name), {_any(X.ACCESSORY_WORDS)}) OR regexp_matches(lower(name), '\\b(?:for|para)\\s+(?:iphone|ipad|mac(?:book| mini)?|imac|galaxy|samsung)\\b') AS accessory,
  regexp_matches(lower(name), {_any(X.NON_NEW)}) AS non_new FROM c""",
-    "f7_additive_score": _PAIRS + f""" SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(CAST(contains(lower(title), 'samsung') AS INT)
- + CAST(contains(lower(title), 'galaxy') AS INT) + 2 * len(list_filter(regexp_split_to_array(regexp_replace(lower(model), '\\b(samsung|galaxy|apple)\\b', ' ', 'g'),
- '[^a-z0-9]+'), lambda w: w NOT IN ('', '5g', 'gb') AND contains(lower(title), w))) + CASE WHEN capacity IS NULL THEN 0 ELSE
- CASE WHEN contains(title, CAST(capacity AS VARCHAR)) THEN 3 ELSE 0 END + CASE WHEN len({_SIZES}) = 0 THEN 0 WHEN list_contains({_SIZES}, capacity) THEN 2 ELSE -3 END END AS INT)
- AS score FROM p""",
+    "f1_match_catalogue": S.catalogue(TITLE, TARGET, "strict", S.PER_TARGET),
+    "f2_match_scored": S.catalogue(TITLE, TARGET, "scored", S.PER_TARGET),
+    "f3_match_chipless": S.catalogue(TITLE, TARGET, "chipless", S.PER_TARGET),
+    "h8_catalogue_outcome": S.catalogue(TITLE, TARGET, "strict", S.PER_OUTCOME),
+    "f4_match_slugs": S.slugs(TARGET, HREF),
+    "f5_group_products": S.GROUPS,
+    "f6_best_of_candidates": S.BEST,
+    "f7_additive_score": _PAIRS + f""" SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, {_ADDITIVE} AS score FROM p""",
+    "f7_pick_candidate": _PAIRS.replace("l_linenumber, CASE", "l_linenumber, l_extendedprice, CASE", 1).replace("l_orderkey, l_linenumber,", "l_orderkey, l_linenumber, l_extendedprice,", 1) + f""",
+ s AS (SELECT l_partkey AS seed_id, l_suppkey || '/' || l_linenumber AS href, title, {_ADDITIVE} AS score, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS o FROM p)
+ SELECT seed_id, title, score FROM s WHERE score > 0 AND href NOT IN (SELECT href FROM s WHERE href LIKE '0/%') QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, o) = 1""",
+    "f14_connectivity_clash": S.clashes(TARGET, TITLE),
+    "f15_search_cards": S.cards(TARGET, TITLE),
     "f11_f12_classes": _TN + f""" SELECT name, CASE WHEN contains(lower(name), 'iphone') THEN 'iPhone' WHEN contains(lower(name), 'ipad') THEN 'iPad'
  WHEN regexp_matches(lower(name), 'macbook|mac mini|imac|mac pro') THEN 'Mac' WHEN contains(lower(name), 'galaxy') AND regexp_matches(lower(name), 's2|s3|z fold|z flip|a5|a7')
  THEN 'Galaxy' WHEN regexp_matches(lower(name), 'galaxy tab|tab s') THEN 'Tablet' WHEN contains(lower(name), 'tab') THEN 'Tablet' ELSE 'Galaxy' END AS category,
