@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from offerscope.operators import features as X
 from offerscope.operators import grouping as G
 from offerscope.operators import matching as M
+from offerscope.operators.candidates import accept_candidates
 from offerscope.plans import matching_sql as S
 from offerscope.plans.sqltext import norm, over_offers, r2
 from offerscope.sources.tables import offers, read_table, spread
@@ -89,11 +90,38 @@ def f7_pick(spark, sf):
     return M.pick_candidate(rows, rows.where("href LIKE '0/%'").select("href")).select("seed_id", "title", "score")
 
 
+# Wanted products of both brands and all devices, and what nine retailers' searches might return for them.
+WANTED = """CASE p_partkey % 8 WHEN 0 THEN 'Apple iPhone ' || CAST(14 + p_partkey % 4 AS STRING) || ' Pro' WHEN 1 THEN 'Apple iPad Air M' || CAST(p_partkey % 4 + 1 AS STRING) || ' 11 WiFi'
+ WHEN 2 THEN 'Apple MacBook Air 13 M4' WHEN 3 THEN 'Samsung Galaxy S' || CAST(20 + p_partkey % 6 AS STRING) WHEN 4 THEN 'Samsung Galaxy Tab S' || CAST(p_partkey % 3 + 8 AS STRING) || ' WiFi'
+ WHEN 5 THEN 'Samsung Galaxy Book' || CAST(p_partkey % 3 + 3 AS STRING) || ' Pro 16' WHEN 6 THEN 'Samsung Galaxy Z Flip' || CAST(p_partkey % 4 + 4 AS STRING) ELSE 'Samsung Galaxy S25 Ultra 5G' END"""
+RESULT = """CASE l_linenumber WHEN 1 THEN wanted || ' 256 GB' WHEN 2 THEN 'Funda para ' || wanted WHEN 3 THEN wanted || ' Ultra 512 GB ' || p_name WHEN 4 THEN replace(replace(wanted, '5', '4'), 'Pro', 'Max')
+ WHEN 5 THEN wanted || ' reacondicionado' WHEN 6 THEN 'Movil ' || replace(replace(wanted, 'Apple ', ''), ' WiFi', ' 5G') || ' Tablet' ELSE 'Portatil ' || replace(wanted, 'Samsung Galaxy ', 'Samsung ') || ' ' || p_name END"""
+SHOP = """CASE l_suppkey % 10 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Grover' WHEN 2 THEN 'Movistar' WHEN 3 THEN 'Movistar detail' WHEN 4 THEN 'Media Markt' WHEN 5 THEN 'Rentik' WHEN 6 THEN 'Fnac'
+ WHEN 7 THEN 'PcComponentes' WHEN 8 THEN 'Apple Oficial' ELSE 'Samsung Oficial' END"""
+LINK = """CASE retailer WHEN 'Amazon' THEN 'https://www.amazon.es/x/dp/B0' || CASE WHEN l_orderkey % 7 = 0 THEN 'X' ELSE 'ABCDEF12' END WHEN 'Grover' THEN 'https://www.grover.com/es-es/' || CASE WHEN l_orderkey % 7 = 0 THEN 'blog/' ELSE 'products/' END || slug
+ WHEN 'Media Markt' THEN 'https://www.mediamarkt.es/es/product/' || slug WHEN 'Rentik' THEN 'https://rentik.com/ofertas-alquilar/' || CASE WHEN l_orderkey % 7 = 0 THEN 'gaming/' ELSE CASE WHEN brand = 'Apple' THEN 'iphone/' ELSE 'samsung/' END || slug END
+ WHEN 'Fnac' THEN 'https://www.fnac.es/' || slug || CASE WHEN l_orderkey % 7 = 0 THEN '/w' ELSE '/a' END || CAST(l_orderkey AS STRING) WHEN 'PcComponentes' THEN 'https://www.pccomponentes.com/' || CASE WHEN l_orderkey % 7 = 0 THEN 'buscar/' ELSE '' END || slug
+ WHEN 'Apple Oficial' THEN 'https://www.apple.com/es/shop/buy-' || CASE device_type WHEN 'mobile' THEN 'iphone/' WHEN 'tablet' THEN 'ipad/' ELSE 'mac/' END || replace(slug, 'apple-', '')
+ WHEN 'Samsung Oficial' THEN 'https://www.samsung.com/es/' || CASE device_type WHEN 'mobile' THEN 'smartphones/' WHEN 'tablet' THEN 'tablets/' ELSE 'computers/' END || slug || CASE WHEN l_orderkey % 7 = 0 THEN '/' ELSE '/buy/' END
+ ELSE 'https://www.movistar.es/' || CASE WHEN l_orderkey % 7 = 0 THEN 'watch/' WHEN device_type = 'mobile' THEN 'moviles/' WHEN device_type = 'tablet' THEN 'tablets/' ELSE 'portatiles/' END || slug END"""
+# one list of columns for both engines: each level may use the one before
+SEARCHES = (
+    {"brand": "CASE WHEN p_partkey % 8 < 3 THEN 'Apple' ELSE 'Samsung' END", "device_type": "CASE p_partkey % 8 WHEN 1 THEN 'tablet' WHEN 4 THEN 'tablet' WHEN 2 THEN 'laptop' WHEN 5 THEN 'laptop' ELSE 'mobile' END",
+     "capacity_gb": "CASE p_size % 3 WHEN 0 THEN 256 WHEN 1 THEN 512 END", "wanted": WANTED, "retailer": SHOP,
+     "product_code": "CASE WHEN p_partkey % 8 = 5 AND p_size % 2 = 0 THEN 'NP960XHA-KG' || CAST(p_size AS STRING) END"},
+    {"model": "wanted", "text": RESULT, "slug": "replace(lower(wanted), ' ', '-')"},
+    {"href": LINK, "title": "CASE WHEN l_orderkey % 3 = 0 THEN text END", "body": "p_name || CASE WHEN l_orderkey % 2 = 0 THEN ' ' || wanted ELSE '' END"},
+)
+
+
 def f8(spark, sf):
-    c = pairs(spark, sf).withColumn("retailer", F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'Grover' WHEN 1 THEN 'Amazon' ELSE 'Movistar' END"))
-    href = F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'https://www.grover.com/es/products/x' WHEN 1 THEN 'https://www.amazon.es/dp/X' ELSE 'https://www.movistar.es/x' END")
-    ok = M.accept_candidate(F.col("retailer"), F.lit("Samsung"), F.col("model"), F.col("capacity"), F.lit("mobile"), F.col("title"), href)
-    return c.select("retailer", "model", "title", ok.alias("accepted")).distinct()
+    """Decisions on distinct search results, nine retailers, both brands, all devices."""
+    li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    for level in SEARCHES:
+        rows = rows.withColumns({c: F.expr(sql) for c, sql in level.items()})
+    seen = rows.select("retailer", "brand", "model", "capacity_gb", "device_type", "product_code", "text", "href", "title", "body").distinct()
+    return accept_candidates(seen)
 
 
 def queries_offers(spark, sf):
@@ -287,6 +315,7 @@ ORACLE = {
     "f7_pick_candidate": _PAIRS.replace("l_linenumber, CASE", "l_linenumber, l_extendedprice, CASE", 1).replace("l_orderkey, l_linenumber,", "l_orderkey, l_linenumber, l_extendedprice,", 1) + f""",
  s AS (SELECT l_partkey AS seed_id, l_suppkey || '/' || l_linenumber AS href, title, {_ADDITIVE} AS score, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS o FROM p)
  SELECT seed_id, title, score FROM s WHERE score > 0 AND href NOT IN (SELECT href FROM s WHERE href LIKE '0/%') QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, o) = 1""",
+    "f8_accept_candidate": S.accepted(SEARCHES),
     "f14_connectivity_clash": S.clashes(TARGET, TITLE),
     "f15_search_cards": S.cards(TARGET, TITLE),
     "f11_f12_classes": _TN + f""" SELECT name, CASE WHEN contains(lower(name), 'iphone') THEN 'iPhone' WHEN contains(lower(name), 'ipad') THEN 'iPad'

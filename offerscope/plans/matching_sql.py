@@ -201,3 +201,116 @@ def cards(target: str, title: str) -> str:
  f AS MATERIALIZED (SELECT *, {feature('n', 'title', 'n')}, {feature('t', 'model', 't').replace(' AS ts,', ' AS tser,')}, {words('n')} AS a, {words('t')} AS b FROM v){token_set('f', 'a', 'b')},
  s AS (SELECT query_id, place, title, CASE WHEN code_query AND query <> '' AND contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(query), '[^a-z0-9]', '', 'g')) THEN 100::DOUBLE ELSE {score} END AS score FROM rated)
  SELECT query_id, place, title, {_R6.format(x='score')} AS score FROM s WHERE score >= {M.CATALOGUE_THRESHOLD} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, place) = 1"""
+
+
+def _has(column: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _re(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern}')"
+
+
+def _n(column: str, pattern: str) -> str:
+    return f"regexp_extract({column}, '{pattern}', 1)"
+
+
+def _runs(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({x}, '([a-z])(\\d)', '\\1 \\2', 'g'), '(\\d)([a-z])', '\\1 \\2', 'g'), '[^a-z0-9+]+'), lambda t: t <> '')"
+
+
+def _mark_list(tokens: str, raw: str) -> str:
+    return f"list_concat(list_filter(['ultra', 'plus', 'fe', 'flip', 'fold', 'edge', 'lite'], lambda m: list_contains({tokens}, m)), CASE WHEN {_re(raw, '[^a-z0-9][saz][0-9]{1,3}[+]')} THEN ['plus'] ELSE [] END)"
+
+
+def _fits(wanted: str, found: str, foreign: str) -> str:
+    return f"CASE WHEN len({wanted}) > 0 THEN len(list_filter({wanted}, lambda m: NOT list_contains({found}, m))) = 0 ELSE len({foreign}) = 0 END"
+
+
+def accepted(levels) -> str:
+    """Every retailer's decision written out on its own."""
+    source = "(SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey)"
+    for level in levels:
+        source = f"(SELECT *, {', '.join(f'{sql} AS {c}' for c, sql in level.items())} FROM {source})"
+    accessory = _has("mix", *X.ACCESSORY_HINTS)
+    products, samsung = _has("mix", "apple", "iphone", "ipad", "macbook", "imac", "mac mini", "mac studio"), _has("mix", "samsung", "galaxy")
+    brand = f"CASE WHEN apple THEN {products} ELSE {samsung} END"
+    no = lambda words, missing: f"list_filter({words}, lambda w: w NOT IN ({', '.join(repr(m) for m in ('', '5g', 'gb', *missing))}))"
+    connect = ("wifi", "cell", "cellular", "wificell", "wi", "fi")
+    strong = lambda words: f"len(list_filter({words}, lambda w: (length(w) >= 4 OR {_re('w', '[0-9]')}) AND NOT contains(mix, w))) = 0"
+    own = f"CASE WHEN apple THEN {_runs('family')} ELSE {_runs('plain')} END"
+    apple_words = lambda c: f"list_filter(['pro', 'max', 'plus', 'mini', 'air'], lambda k: regexp_matches({c}, '\\b' || k || '\\b'))"
+    apple_marks = f"(NOT apple OR (number = '' OR regexp_matches(mix, '\\biphone\\s*' || number || '\\b')) AND {_fits('aw', 'af', 'af')})"
+    marks = f"(apple OR {_fits('wm', 'fm', 'fm')})"
+    grover_words = "list_filter(regexp_split_to_array(CASE WHEN apple THEN family ELSE plain END, '[^a-z0-9]+'), lambda w: w NOT IN ('', '5g', 'gb') AND NOT (apple AND (w IN ('wifi', 'cell', 'cellular', 'wificell', 'wi', 'fi') OR regexp_matches(w, '^m\\d+$'))))"
+    grover_found = "list_concat(list_filter(['ultra', 'plus', 'fe', 'flip', 'fold'], lambda m: contains(mix, m)), CASE WHEN regexp_matches(raw, '[^a-z0-9][saz][0-9]{1,3}[+]') THEN ['plus'] ELSE [] END)"
+    grover_wanted = "list_filter(['ultra', 'plus', 'fe', 'flip', 'fold'], lambda m: list_contains(gw, m))"
+    code = "(coalesce(code, '') <> '' AND contains(compact, code) OR length(root) >= 6 AND contains(compact, root))"
+    movistar_url = f"CASE device WHEN 'mobile' THEN {_has('u', '/moviles/')} WHEN 'tablet' THEN {_has('u', '/tablet')} ELSE {_has('u', '/portatil', '/ordenador', '/laptop')} END"
+    sizes = "list_concat(list_transform(regexp_extract_all(mix, '\\b(64|128|256|512|1024|2048)\\s*gb\\b', 1), lambda v: CAST(v AS INT)), list_transform(regexp_extract_all(mix, '\\b(1|2|4)\\s*tb\\b', 1), lambda v: CAST(v AS INT) * 1024))"
+    gb = "list_transform(regexp_extract_all(mix, '\\b(64|128|256|512|1024)\\s*gb\\b', 1), lambda v: CAST(v AS INT))"
+    sized = lambda found: f"(capacity_gb IS NULL OR len({found}) = 0 OR list_contains({found}, capacity_gb))"
+    together = lambda c: (f"len(list_filter(regexp_extract_all(m, '\\bs\\s*(\\d{{2,3}})\\b', 1), lambda n: NOT contains({c}, 's' || n))) = 0 AND len(list_filter(regexp_extract_all(m, '\\ba\\s*(\\d{{2,3}})\\b', 1), lambda n: NOT contains({c}, 'a' || n))) = 0"
+                          f" AND ({_n('m', 'flip *(\\d{1,2})')} = '' OR contains({c}, 'flip' || {_n('m', 'flip *(\\d{1,2})')}))")
+    movistar = f"{movistar_url} AND NOT {_has('u', 'pack-ahorro', 'watch', 'smart-tv', 'reacondicionado')} AND {brand} AND device_ok AND {strong(no('ow', ()))} AND {marks} AND {apple_marks}"
+    media_found = "CASE WHEN device = 'laptop' AND contains(mix, 'core ultra') THEN list_filter(fm, lambda x: x <> 'ultra') ELSE fm END"
+    wifi, cell = "regexp_matches({c}, '\\bwi[\\s-]?fi\\b')", "regexp_matches({c}, '5g|lte|cell')"
+    letter, digits, size = _n("plain", "\\b([sa])\\s*\\d{1,3}\\b"), _n("plain", "\\b[sa]\\s*(\\d{1,3})\\b"), _n("plain", "\\b(1[4-7])\\b")
+    flip = _n("plain", "\\bflip\\s*(\\d{1,2})\\b")
+    media = (f"contains(u, '/product/') AND contains(u, 'mediamarkt') AND {brand} AND NOT {_has('mix', 'reacondicionado', 'reacondic', 'seminuevo', 'renovado', 'usado', 'segunda mano')}"
+             f" AND NOT CASE WHEN device = 'laptop' THEN {_has('mix', *[w for w in X.ACCESSORY_HINTS if w not in ('teclado', 'keyboard')])} ELSE {accessory} END AND device_ok"
+             f" AND CASE WHEN apple THEN {strong(no('ow', ()))} ELSE {strong(no('ow', ('wifi', 'wi', 'fi', 'lte', 'cell', 'cellular')))} END AND {apple_marks}"
+             f" AND (apple OR (device <> 'laptop' OR {size} = '' OR regexp_matches(mix, '(^|[^0-9])' || {size} || '([^0-9]|$)'))"
+             f" AND (device <> 'tablet' OR NOT ({wifi.format(c='m')} AND {cell.format(c='mix')}) AND NOT ({cell.format(c='m')} AND {wifi.format(c='mix')} AND NOT {cell.format(c='mix')}))"
+             f" AND (device <> 'mobile' OR NOT ({_re('m', '\\b5g\\b')} AND {_re('mix', '\\blte\\b')} AND NOT {_re('mix', '\\b5g\\b')}))"
+             f" AND ({letter} = '' OR regexp_matches(mix, '\\b' || {letter} || '\\s*' || {digits} || '\\b')) AND ({flip} = '' OR regexp_matches(mix, '\\bflip\\s*' || {flip} || '\\b')) AND {_fits('wm', media_found, media_found)})")
+    apple_path = ("CASE device WHEN 'mobile' THEN CASE WHEN number = '' THEN contains(path, '/shop/buy-iphone/') WHEN regexp_matches(m, 'pro max|\\biphone\\s*\\d{1,2}\\s*pro\\b') THEN contains(path, 'iphone-' || number || '-pro')"
+                  " ELSE contains(path, 'iphone-' || number) AND NOT contains(path, 'iphone-' || number || '-pro') AND NOT contains(path, 'iphone-air') END"
+                  " WHEN 'tablet' THEN CASE WHEN contains(m, 'ipad pro') THEN contains(path, 'ipad-pro') WHEN contains(m, 'ipad air') THEN contains(path, 'ipad-air') WHEN contains(m, 'ipad mini') THEN contains(path, 'ipad-mini') ELSE contains(path, '/shop/buy-ipad/') END"
+                  " ELSE CASE WHEN contains(m, 'macbook air') THEN contains(path, 'macbook-air') WHEN contains(m, 'macbook pro') THEN contains(path, 'macbook-pro') ELSE contains(path, '/shop/buy-mac/') END END")
+    points_words = no("regexp_split_to_array(regexp_replace(m, '\\b(samsung|galaxy|apple)\\b', ' ', 'g'), '[^a-z0-9]+')", ())
+    points = (f"(CASE WHEN apple THEN contains(mix, 'apple')::INT + {_has('mix', 'iphone', 'ipad', 'macbook')}::INT ELSE contains(mix, 'samsung')::INT + contains(mix, 'galaxy')::INT END"
+              f" + 2 * len(list_filter({points_words}, lambda w: contains(mix, w))) + CASE WHEN capacity_gb IS NULL THEN 0 ELSE CASE WHEN contains(mix, CAST(capacity_gb AS VARCHAR)) THEN 3 ELSE 0 END"
+              f" + CASE WHEN len(sizes) = 0 THEN 0 WHEN list_contains(sizes, capacity_gb) THEN 2 ELSE -3 END END)")
+    strict = lambda a, b: f"len(list_filter({a}, lambda x: x IN ('ultra', 'plus', 'fe', 'flip', 'fold', 'lite') AND NOT list_contains({b}, x))) = 0"
+    detail_family = _n("m", "\\b([saz]\\d{1,3})\\b")
+    rules = {
+        "Amazon": f"regexp_matches(u, '//[^/?#]*amazon[.].*/dp/[a-z0-9]{{10}}') AND {brand} AND (NOT apple OR contains(title_n, 'apple')) AND NOT {_has('mix', *X.SECOND_HAND)} AND NOT {accessory} AND device_ok"
+                  f" AND (CASE WHEN apple THEN {strong(no('bw', connect))} ELSE {strong(no('bw', ()))} END OR device = 'laptop' AND {code}) AND (apple OR {together('compact')})"
+                  f" AND (apple OR device = 'laptop' OR {_fits('wm', 'fm', 'list_filter(fm, lambda x: x NOT IN (' + repr('flip') + ', ' + repr('fold') + '))')}) AND {apple_marks} AND {sized('sizes')}",
+        "Grover": f"contains(u, 'grover.com') AND contains(u, '/products/') AND {brand} AND NOT {accessory} AND device_ok"
+                  f" AND len(list_filter(gw, lambda w: (length(w) >= 4 OR regexp_matches(w, '[0-9]') AND NOT regexp_matches(w, '^[0-9]+$')) AND NOT contains(mix, w))) = 0"
+                  f" AND (apple OR {_fits(grover_wanted, grover_found, grover_found)}) AND {apple_marks} AND {sized(gb)}",
+        "Movistar": movistar,
+        "Movistar detail": f"CASE WHEN apple THEN {movistar} ELSE {movistar_url} AND {_has('detail', 'samsung', 'galaxy')} AND device_ok AND {detail_family} <> '' AND contains(detail, {detail_family}) AND {_fits('wm', 'dm', 'dm')} END",
+        "Media Markt": media,
+        "Rentik": f"contains(u, 'rentik.com') AND CASE WHEN apple THEN {_has('u', '/ofertas-alquilar/iphone/', '/ofertas-alquilar/apple/')} ELSE contains(u, '/ofertas-alquilar/samsung/') END AND NOT regexp_matches(u, '/(apple|samsung)/*$')"
+                  f" AND NOT {_has('u', 'watch', 'reacondicionados', 'gaming')} AND {brand} AND NOT {accessory} AND device_ok AND CASE WHEN apple THEN {strong(no('ow', connect))} ELSE {strong(no('ow', ()))} END AND {marks} AND {apple_marks}",
+        "Fnac": f"contains(u, 'fnac.es') AND regexp_matches(u, '/a\\d+') AND NOT {_has('u', 'watch', 'tablet', 'tab-', 'smart-tv', 'reacondicionado', 'fundas', 'carcasa', 'protector')} AND {samsung} AND {strong(no('pw', ()))} AND {_fits('wm', 'fm', 'fm')}",
+        "PcComponentes": f"contains(u, 'pccomponentes.com') AND path NOT IN ('', '/') AND NOT {_has('path', '/search', '/buscar', '/smartphone-moviles', '/tablets')} AND NOT regexp_matches(ltrim(path, '/'), '/.') AND {samsung}"
+                         f" AND NOT {_has('mix', 'reacondicionado', 'funda', 'carcasa', 'protector', 'cargador', 'auriculares')} AND {strong(no('pw', ()))}",
+        "Apple Oficial": f"apple AND NOT {accessory} AND {brand} AND device_ok AND {apple_path}",
+        "Samsung Oficial": f"contains(u, 'samsung.com/es') AND contains(u, '/buy/') AND CASE device WHEN 'tablet' THEN contains(u, '/tablets/') WHEN 'laptop' THEN {_has('u', '/computers/', '/laptops/', '/galaxy-book/')} ELSE contains(u, '/smartphones/') END"
+                           f" AND device_ok AND {points} >= 2 AND {strict('wm', 'fm')} AND {strict('um', 'wm')} AND CASE WHEN contains(m, '5g') THEN contains(mix, '5g') ELSE NOT contains(u, '5g') END AND {together('blankless')}",
+    }
+    laptop = _has("mix", *X.LAPTOP_HINTS) + " OR " + samsung + " AND " + _re("mix", "\\bbook\\s*\\d?\\b")
+    tablet = _has("mix", "ipad", "tablet") + " OR " + _re("mix", "\\btab(let|lets)?\\b")
+    book, books = _n("m", "\\bbook\\s*(\\d{1,2})\\b"), "regexp_extract_all(mix, '\\bbook\\s*(\\d{1,2})\\b', 1)"
+    missing = lambda words: f"len(list_filter({words}, lambda x: list_contains(mr, x) AND NOT list_contains(xr, x))) = 0"
+    laptop_ok = (f"({code} OR CASE WHEN apple THEN {missing(['pro', 'air', 'mini', 'max', 'studio'])} AND (NOT contains(m, 'macbook') OR contains(mix, 'macbook'))"
+                 f" ELSE ({book} = '' OR contains(compact, 'book' || {book}) AND (len({books}) = 0 OR list_contains({books}, {book}))) AND {missing(['pro', 'ultra', '360'])} END)")
+    device_ok = (f"coalesce(CASE WHEN {accessory} THEN NULL WHEN is_laptop THEN 'laptop' WHEN is_tablet THEN 'tablet' WHEN {_has('mix', *X.MOBILE_HINTS, *X.BRAND_HINTS)} THEN 'mobile' END = device, true)"
+                 f" AND CASE device WHEN 'laptop' THEN is_laptop AND {laptop_ok} WHEN 'tablet' THEN is_tablet AND NOT is_laptop ELSE (NOT apple OR {_has('mix', 'iphone', 'apple')}) AND NOT is_tablet AND NOT is_laptop END")
+    columns = "retailer, brand, model, capacity_gb, device_type, product_code, text, href, title, body"
+    arms = " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in rules.items())
+    return f"""WITH c AS (SELECT DISTINCT {columns} FROM {source}),
+ a AS (SELECT *, brand = 'Apple' AS apple, device_type AS device, lower(model) AS m, lower(href) AS u, lower(coalesce(product_code, '')) AS raw_code, lower(coalesce(nullif(title, ''), text)) AS title_n,
+  lower(text || CASE WHEN retailer = 'Movistar detail' AND brand = 'Apple' THEN ' ' || body ELSE '' END || ' ' || href) AS mix, lower(text || ' ' || href || ' ' || body) AS detail FROM c),
+ b AS (SELECT *, mix AS raw, regexp_replace(mix, '[^a-z0-9]', '', 'g') AS compact, replace(mix, ' ', '') AS blankless, regexp_replace(raw_code, '[^a-z0-9]', '', 'g') AS code,
+  regexp_replace(regexp_extract(raw_code, '^[^-_/]*'), '[^a-z0-9]', '', 'g') AS root, regexp_replace(m, '\\b(apple|iphone|ipad|macbook|imac|mac)\\b', ' ', 'g') AS family, regexp_replace(m, '\\b(samsung|galaxy)\\b', ' ', 'g') AS plain,
+  regexp_replace(m, '\\b(samsung|galaxy|apple)\\b', ' ', 'g') AS bare, regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, {_runs('m')} AS mr, {_runs('mix')} AS xr, {_runs('u')} AS ur, {_runs('detail')} AS dr,
+  {laptop} AS is_laptop, {tablet} AS is_tablet, {_n('m', '\\biphone\\s*(\\d{1,2})\\b')} AS number FROM a),
+ d AS (SELECT *, {own} AS ow, {_runs('plain')} AS pw, {_runs('bare')} AS bw, {grover_words} AS gw, {_mark_list('mr', 'm')} AS wm, {_mark_list('xr', 'mix')} AS fm, {_mark_list('ur', 'u')} AS um, {_mark_list('dr', 'detail')} AS dm,
+  {apple_words('m')} AS aw, {apple_words('mix')} AS af, {sizes} AS sizes FROM b),
+ e AS (SELECT *, {device_ok} AS device_ok FROM d)
+ SELECT {columns}, CASE retailer {arms} ELSE false END AS accepted FROM e"""

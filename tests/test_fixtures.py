@@ -356,14 +356,14 @@ def test_price_change_after_a_missing_snapshot(spark):
 
 
 def test_capacity_decides_only_where_a_retailer_requires_it(spark):
-    from offerscope.operators.matching import accept_candidate
-
-    hrefs = {"Media Markt": "https://www.mediamarkt.es/es/product/x", "Fnac": "https://www.fnac.es/x", "PcComponentes": "https://www.pccomponentes.com/x",
-             "Samsung Oficial": "https://www.samsung.com/es/x", "Amazon": "https://www.amazon.es/dp/x", "Grover": "https://www.grover.com/es-es/products/x"}
-    rows = [(n, f"Samsung Galaxy S25 {size} GB movil", h, size) for n, h in hrefs.items() for size in (256, 512)]
-    df = spark.createDataFrame(rows, "retailer string, text string, href string, size int")
-    ok = accept_candidate(F.col("retailer"), F.lit("Samsung"), F.lit("Galaxy S25"), F.lit(256), F.lit("mobile"), F.col("text"), F.col("href"))
-    assert sorted((r.retailer, r.size) for r in df.where(ok).collect()) == sorted((n, s) for n in hrefs for s in (256, 512) if s == 256 or n not in ("Amazon", "Grover"))
+    from offerscope.operators.candidates import accept_candidates
+
+    hrefs = {"Media Markt": "https://www.mediamarkt.es/es/product/x", "Fnac": "https://www.fnac.es/a1", "PcComponentes": "https://www.pccomponentes.com/x",
+             "Samsung Oficial": "https://www.samsung.com/es/smartphones/x/buy/", "Amazon": "https://www.amazon.es/dp/B0ABCDEF12", "Grover": "https://www.grover.com/es-es/products/x"}
+    rows = [(n, "Samsung", "Galaxy S25", 256, "mobile", None, f"Samsung Galaxy S25 {size} GB movil", h, None, None, size) for n, h in hrefs.items() for size in (256, 512)]
+    df = spark.createDataFrame(rows, "retailer string, brand string, model string, capacity_gb int, device_type string, product_code string, text string, href string, title string, body string, size int")
+    got = accept_candidates(df).where("accepted").collect()
+    assert sorted((r.retailer, r.size) for r in got) == sorted((n, s) for n in hrefs for s in (256, 512) if s == 256 or n not in ("Amazon", "Grover"))
 
 
 def test_similarity_chain_settles(spark):
