@@ -141,25 +141,36 @@ def question_alias(q: Column) -> Column:
 GRAM = 8
 
 
+def _pieces(text: str, size) -> Column:
+    """All runs of ``size`` characters of a text that has at least so many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(F.col(text), at, size))
+
+
 def longest_contained(questions: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """The longest name found inside each question's normalized text; null when none is.
 
-    ``names`` holds the candidate names in its only column. A contained name has its last characters inside the text, so both sides meet in an equi join on
-    that ending (at most eight characters) and containment is checked on the meeting pairs only.
+    ``names`` holds the candidate names in its only column. Texts and names meet by one gram per name, the one
+    that fewest texts hold (eight characters, or the whole name if shorter); a name with a gram that no text
+    holds meets none. So endings or beginnings that many names share are no keys. Texts count once, however many
+    questions ask the same.
     """
     label = F.col(names.columns[0])
-    n = names.select(label.alias("_name"), normalize_text(label).alias("_norm")).distinct()
-    n = n.where("_norm <> ''").withColumn("_gram", F.right("_norm", F.lit(GRAM)))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_q"), F.lit(1)))
-    sizes = F.array(*[F.lit(s) for s in range(1, GRAM + 1)])
-    grams = F.flatten(F.transform(
-        starts, lambda p: F.transform(sizes, lambda s: F.substring(F.col("_q"), p, s))))
-    q = questions.select("question_id", F.col(text).alias("_q")).select(
-        "question_id", "_q", F.explode(F.array_distinct(grams)).alias("_gram"))
-    hits = q.join(n, (q["_gram"] == n["_gram"]) & q["_q"].contains(n["_norm"]))
-    best = first_per_key(hits.select("question_id", "_name"), ["question_id"],
-                         [F.length("_name").desc(), F.col("_name").asc()])
-    return questions.join(best.select("question_id", F.col("_name").alias(name)), "question_id", "left")
+    n = names.select(label.alias("_name"), normalize_text(label).alias("_norm")).distinct().where("_norm <> ''")
+    short = F.length("_norm") < GRAM
+    own = F.array_distinct(F.when(short, F.array("_norm")).otherwise(_pieces("_norm", GRAM)))
+    n = n.withColumn("_own", own).withColumn("_count", F.size("_own"))
+    sizes = sorted(r.size for r in n.where(short).select(F.length("_norm").alias("size")).distinct().take(GRAM))  # seven at most
+    texts = questions.select(F.col(text).alias("_q")).where("_q <> ''").distinct()
+    whole = F.when(F.length("_q") >= GRAM, _pieces("_q", GRAM)).otherwise(F.array().cast("array<string>"))
+    parts = [F.when(F.length("_q") >= size, _pieces("_q", size)).otherwise(F.array().cast("array<string>")) for size in sizes]
+    held = texts.select("_q", F.explode(F.array_distinct(F.concat(whole, *parts))).alias("_gram"))
+    heat = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = n.select("_name", "_norm", "_count", F.explode("_own").alias("_gram")).join(heat, "_gram").groupBy("_name", "_norm", "_count").agg(
+        F.count("*").alias("_met"), F.min(F.struct("_n", "_gram")).alias("_least"))
+    keyed = rarest.where("_met = _count").select("_name", "_norm", F.col("_least._gram").alias("_gram"))
+    hits = held.join(keyed, "_gram").where(F.col("_q").contains(F.col("_norm")))
+    best = first_per_key(hits.select("_q", "_name"), ["_q"], [F.length("_name").desc(), F.col("_name").asc()])
+    return questions.join(best.select(F.col("_q").alias(text), F.col("_name").alias(name)), text, "left").select(*questions.columns, name)
 
 
 def scope(offers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ page that carried them, so they are sorted and cut in place; anything across pag
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,6 +199,41 @@ def storage_variants(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "storage").agg(F.min_by("code", "o").alias("code"))
 
 
+SELECTION_KEY = r"productSelectionData:\s*\{"
+_BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
+def balanced_object(text: str, start: int) -> str | None:
+    """The object whose brace opens at ``start``; braces inside quoted strings don't count. None if it never closes."""
+    depth = 0
+    for found in _BRACES.finditer(text, start):
+        if found[0] == "{":
+            depth += 1
+        elif found[0] == "}":
+            depth -= 1
+            if not depth:
+                return text[start:found.end()]
+    return None
+
+
+def objects_in_html(pages: DataFrame, key: str = SELECTION_KEY) -> DataFrame:
+    """page_id and payload: the object after the first ``key`` (a pattern that ends in its opening brace) of each page.
+
+    ``pages``: page_id, html. Pages without the key or with an object that never closes have no row.
+    """
+    opening = re.compile(key)
+
+    def cut(batches):
+        for batch in batches:
+            found = [opening.search(html or "") for html in batch.column("html").to_pylist()]
+            made = [balanced_object(m.string, m.end() - 1) if m else None for m in found]
+            kept = pa.array([m is not None for m in made])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(made, pa.string())], names=["page_id", "payload"]).filter(kept)
+
+    schema = T.StructType([pages.schema["page_id"], T.StructField("payload", T.StringType())])
+    return pages.select("page_id", "html").mapInArrow(cut, schema)
+
+
 def selection_prices(payloads: DataFrame) -> DataFrame:
     """Products joined to the price dictionary of their own payload; cheapest per family and size."""
     d = payloads.select("page_id", F.from_json("payload", SELECTION).alias("d"))

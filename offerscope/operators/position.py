@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from offerscope.functions.numbers import round_half_up
 from offerscope.functions.text import normalize_text
-from offerscope.operators.dedupe import first_per_key
-from offerscope.operators.joins import join_null_safe
+from offerscope.session import cut_lineage
 
 SKU = ["model", "capacity_gb"]
 
@@ -63,29 +62,23 @@ def price_leader(stats: DataFrame) -> DataFrame:
 
 def positioning(offers: DataFrame) -> DataFrame:
     """One row per retailer: coverage, price level, wins and losses against the best rival."""
-    best = best_price(offers)
-    two = first_per_key(best, SKU, [F.col("best_price"), F.col("retailer")], limit=2)
-    lead = two.groupBy(*SKU).agg(
-        F.min(F.struct("best_price", "retailer")).alias("one"),
-        F.max(F.struct("best_price", "retailer")).alias("two"),
-        F.count("*").alias("k"),
-    )
-    own_first = F.col("one.retailer") == F.col("retailer")
-    rival = F.when(~own_first, F.col("one.best_price")).when(F.col("k") == 2, F.col("two.best_price"))
-    vs = join_null_safe(best, lead, SKU).select(
-        "retailer", F.col("best_price").alias("p"), (F.col("best_price") - rival).alias("g")
-    )
-    stats = vs.groupBy("retailer").agg(
+    # the only pass over the offers: a row per product and retailer
+    seen = cut_lineage(offers.groupBy(*SKU, "retailer").agg(
+        F.min("price_value").alias("best_price"), F.min("term_months").alias("min_term"), F.max("term_months").alias("max_term")))
+    best = seen.where("best_price IS NOT NULL AND model <> '' AND retailer <> ''")
+    cheapest = Window.partitionBy(*SKU).orderBy("best_price", "retailer")
+    # the best rival of the cheapest is the next one, of all others the cheapest
+    rival = F.when(F.row_number().over(cheapest) == 1, F.lead("best_price").over(cheapest)).otherwise(F.first("best_price").over(cheapest))
+    vs = best.withColumn("_rival", rival).select("retailer", F.col("best_price").alias("p"), (F.col("best_price") - F.col("_rival")).alias("g"))
+    stats = cut_lineage(vs.groupBy("retailer").agg(
         F.count("*").alias("sku_count"),
         (F.sum("p").cast("double") / F.count("*")).alias("avg_price"),
         F.count("g").alias("matched"),
         F.count(F.when(F.col("g") <= 0, 1)).alias("wins"),
         F.count(F.when(F.col("g") > 0, 1)).alias("losses"),
         (F.sum("g").cast("double") / F.nullif(F.count("g"), F.lit(0))).alias("avg_gap"),
-    )
-    terms = offers.groupBy("retailer").agg(
-        F.min("term_months").alias("min_term"), F.max("term_months").alias("max_term")
-    )
+    ))
+    terms = seen.groupBy("retailer").agg(F.min("min_term").alias("min_term"), F.max("max_term").alias("max_term"))
     out = coverage_rank(stats).join(price_leader(stats), "retailer").join(terms, "retailer", "left")
     gap = F.col("avg_gap")
     label = (

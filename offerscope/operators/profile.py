@@ -93,7 +93,9 @@ def filters_range(offers: DataFrame) -> DataFrame:
 def evolution(history: DataFrame, catalogue: DataFrame, last_n: int = fixed.TREND_SNAPSHOTS) -> DataFrame:
     """Mean price per snapshot and retailer over the newest n snapshots of the catalogue."""
     recent = catalogue.orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc()).limit(last_n)
-    rows = history.where(PRICED).where("retailer <> ''")
+    # the least of their ids, known before the scan: partitions of older snapshots are not read
+    oldest = recent.agg(F.min("snapshot_id")).scalar()
+    rows = history.where(F.col("snapshot_id") >= oldest).where(PRICED).where("retailer <> ''")
     means = rows.groupBy("snapshot_id", "retailer").agg(_mean().alias("mean_price"))
     return means.join(recent.select("snapshot_id", "created_at"), "snapshot_id")
 
@@ -227,13 +229,18 @@ def terms_per_product(offers: DataFrame, modality: str = "financing_max_term") -
 
 
 def coverage_counters(offers: DataFrame) -> DataFrame:
-    """Distinct (device, model, capacity), overall and per modality, for each retailer."""
-    key = F.struct("device_type", "model", "capacity_gb")
-    return offers.groupBy("retailer").agg(
-        F.count_distinct(key).alias("n_keys"),
-        *[F.count_distinct(F.when(F.col("offer_type") == m, key)).alias(f"n_{m}")
-          for m in fixed.MODALITY_LABELS],
-    )
+    """Distinct (device, model, capacity), overall and per modality, for each retailer.
+
+    One pass: every key gets the set of its modalities as bits, then bits are counted.
+    """
+    modalities = list(fixed.MODALITY_LABELS)
+    bit = F.lit(0)
+    for place, name in enumerate(modalities):
+        bit = F.when(F.col("offer_type") == name, 1 << place).otherwise(bit)
+    keys = offers.groupBy("retailer", "device_type", "model", "capacity_gb").agg(F.bit_or(bit).alias("_bits"))
+    return keys.groupBy("retailer").agg(
+        F.count("*").alias("n_keys"),
+        *[F.sum(F.getbit("_bits", F.lit(place)).cast("long")).alias(f"n_{name}") for place, name in enumerate(modalities)])
 
 
 def low_coverage(

@@ -46,6 +46,9 @@ SELECT_JSON = f"""'{{"products":[{{"familyType":"iphone17promax","dimensionCapac
 {{"familyType":"","dimensionCapacity":"1tb","fullPrice":"c"}}],"displayValues":{{"prices":{{"a":{{"currentPrice":{{"raw_amount":"'
  || CAST(p_retailprice AS STRING) || '"}}}},"b":{{"amountBeforeTradeIn":"' || {SIZE.format(880)} || '"}},"c":{{"currentPrice":
 {{"raw_amount":"1500.5"}}}}}}}}}}'""".replace("\n", " ")
+# the same inside a page, after a note whose string holds braces and quotes
+SELECT_HTML = f"""'<html><script>var other = {{"a":1}}; window.BOOTSTRAP = {{ productSelectionData: {{"note":"a }} brace, {{ and \\\\"quotes\\\\"",' || substr({SELECT_JSON}, 2)
+ || ', done: 1 }};</script>' || CASE WHEN p_partkey % 2 = 0 THEN '<script>productSelectionData: {{"products":[]}}</script>' ELSE '' END""".replace("\n", " ")
 LIST_JSON = f"""CASE p_partkey % 3 WHEN 0 THEN '{{"products":[],"a":[{{"id":1}}],"b":{{"c":{{"d":{{"e":{{"f":{{"data":{{"list":[{{"name":"A","price":"'
  || CAST(p_retailprice AS STRING) || '"}}]}}}}}}}}}}}}}}'
  WHEN 1 THEN '{{"data":{{"results":{{"items":[{{"modelName":"B","modelCode":"M1","price":"10,5"}},{{"name":"C","price":"20"}}]}}}}}}'
@@ -219,7 +222,7 @@ QUERIES = {
     "e9_variant_capacities": lambda spark, sf: J.variant_capacities(parts(spark, sf, OPTION_JSON)).select("page_id", "token", "capacity_gb"),
     "e10_uninsured_plausible": e10,
     "e11_records": e11,
-    "e12_selection_prices": lambda spark, sf: J.selection_prices(parts(spark, sf, SELECT_JSON)).withColumn("name", J.family_name(F.col("family"))),
+    "e12_selection_prices": lambda spark, sf: J.selection_prices(J.objects_in_html(parts(spark, sf, SELECT_HTML).withColumnRenamed("payload", "html"))).withColumn("name", J.family_name(F.col("family"))),
     "e13_financing_schedule": e13,
     "e14_free_financing": e14,
     "e15_capacity_cards": lambda spark, sf: J.capacity_cards(parts(spark, sf, CARD_JSON)),

@@ -119,6 +119,11 @@ def w5(o):
     return W.page(o, 3, 100, "model", True).select(*ROW, price())
 
 
+def w7(o):
+    """The second page beside the number of all rows."""
+    return W.with_total(W.page(o, 2, 900), o).select(*ROW, price(), "total")
+
+
 def w11_terms(o):
     rows = o.where("offer_type = 'financing_max_term' AND term_months IS NOT NULL")
     return rows.select("model", "term_months").distinct()
@@ -153,7 +158,7 @@ QUERIES = {
     "w4_coverage_rank": _q(lambda o: P.coverage_rank(P.best_price(o).groupBy("retailer").agg(F.count("*").alias("sku_count")))),
     "w5_page_by_model_desc": _q(w5),
     "w6_grid_order_top": _q(lambda o: W.sort_grid(o, "price_value", True).limit(200).select(*ROW, price())),
-    "w7_page": _q(lambda o: W.page(o, 2, 900).select(*ROW, price())),
+    "w7_page": _q(w7),
     "w8_retailer_order": _q(lambda o: o.select("retailer").distinct().orderBy(
         *W.retailer_order(F.col("retailer"), ["Home Store", "Media Markt", "Amazon"]))),
     "w9_interleave": _q(lambda o: W.interleave(o, 500).select(*ROW, "device_type", F.col("turn").cast("bigint").alias("turn"))),
@@ -234,7 +239,7 @@ ORACLE = {
  FROM (SELECT retailer, count(DISTINCT (model, capacity_gb)) AS sku_count FROM offers WHERE price_value IS NOT NULL GROUP BY 1)"""),
     "w5_page_by_model_desc": over_offers(f"""SELECT {ROWSQL} FROM offers ORDER BY {norm('model')} DESC, _ord LIMIT 100 OFFSET 200"""),
     "w6_grid_order_top": over_offers(f"SELECT {ROWSQL} FROM offers ORDER BY price_value ASC NULLS FIRST, _ord LIMIT 200"),
-    "w7_page": over_offers(f"SELECT {ROWSQL} FROM offers ORDER BY price_value ASC NULLS LAST, _ord LIMIT 500 OFFSET 500"),
+    "w7_page": over_offers(f"SELECT {ROWSQL}, (SELECT count(*) FROM offers) AS total FROM offers ORDER BY price_value ASC NULLS LAST, _ord LIMIT 500 OFFSET 500"),
     "w8_retailer_order": over_offers("""SELECT DISTINCT retailer FROM offers ORDER BY CASE retailer WHEN 'Home Store' THEN 0
  WHEN 'Media Markt' THEN 1 WHEN 'Amazon' THEN 2 ELSE 999 END, retailer"""),
     "w9_interleave": over_offers("""SELECT retailer, model, capacity_gb, offer_type, term_months, CAST(price_value AS DOUBLE) AS price,

@@ -82,55 +82,81 @@ def publish(
     spark: SparkSession, records: DataFrame, root: str, snapshot_id: str, created_at: str, mode: str = "manual",
     brand_scope: str = "all", raw_record_count: int | None = None, selected_key_count: int = 0,
 ) -> DataFrame:
-    """Dedupe, write the snapshot's partition, then its catalogue row. Fails when nothing is publishable.
+    """Dedupe, write a new version of the snapshot, then the catalogue row that points to it. Fails when nothing is
+    publishable.
 
-    The rows are written aside and checked first, so a run with nothing to publish leaves an earlier
-    partition as it is. The partition is overwritten as a whole, so a repeated run leaves one copy; readers
-    only see the snapshot once its catalogue row, written last, exists.
+    A version is written once, to a path of its own, and never changed. Readers follow the newest pointer of each
+    snapshot, so a run that stops anywhere before its pointer is written leaves what they see as it was; a
+    repeated run adds a version. ``prune`` removes what no pointer leads to any more.
     """
-    target = f"{root.rstrip('/')}/history"
+    version = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/history/snapshot_id={snapshot_id}/version={version}"
     rows = dedupe_by_quality(records).select(*fixed.CANONICAL_COLUMNS)
-    aside = f"{root.rstrip('/')}/staging/{snapshot_id}-{uuid.uuid4().hex}"
-    rows.write.parquet(aside)
-    checked = spark.read.schema(rows.schema).parquet(aside)
-    if checked.isEmpty():
+    rows.write.parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    if written.isEmpty():
+        _delete(spark, path)
         raise RuntimeError("no publishable rows")
-    checked.write.mode("overwrite").parquet(f"{target}/snapshot_id={snapshot_id}")
-    written = spark.read.parquet(f"{target}/snapshot_id={snapshot_id}")
-    count = written.agg(F.count("*").alias("n"))
-    staged = spark._jvm.org.apache.hadoop.fs.Path(aside)
-    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
     raw = F.lit(raw_record_count) if raw_record_count is not None else records.agg(F.count("*")).scalar()
-    meta = count.select(
+    meta = written.agg(F.count("*").alias("n")).select(
         F.lit(snapshot_id).alias("id"), F.lit(created_at).alias("created_at"), F.lit(mode).alias("mode"),
         F.lit(brand_scope).alias("brand_scope"), F.col("n").alias("record_count"), raw.cast("long").alias("raw_record_count"),
         F.col("n").alias("published_record_count"), F.lit(selected_key_count).cast("long").alias("selected_key_count"),
+        F.create_map(F.lit("records"), F.lit(path)).alias("files"), F.unix_micros(F.current_timestamp()).alias("pointed_at"),
     )
-    meta.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/catalogue/{snapshot_id}")
+    meta.coalesce(1).write.json(f"{root.rstrip('/')}/catalogue/{snapshot_id}-{version}")
     return written
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """Every catalogue row ever written, with its own ``_entry`` path."""
+    rows = spark.read.schema(f"{METADATA}, pointed_at long").json(f"{root.rstrip('/')}/catalogue/*")
+    return rows.withColumn("_entry", F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]+$", "")).withColumnRenamed("id", "snapshot_id")
+
+
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """Catalogue rows written by ``publish``."""
-    return spark.read.schema(METADATA).json(f"{root.rstrip('/')}/catalogue/*").withColumnRenamed("id", "snapshot_id")
+    """One row per published snapshot: the newest pointer."""
+    rows = _pointers(spark, root)
+    columns = [c for c in rows.columns if c not in ("snapshot_id", "_entry", "pointed_at")]
+    newest = rows.groupBy("snapshot_id").agg(F.max_by(F.struct(*columns), F.struct("pointed_at", "_entry")).alias("m"))
+    return newest.select("snapshot_id", "m.*")
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/history")
+    """Rows of all published snapshots, partitioned by ``snapshot_id``; only versions that a pointer leads to.
+
+    The paths come to the driver, one per snapshot kept.
+    """
+    paths = [r.path for r in catalogue(spark, root).select(F.col("files")["records"].alias("path")).toLocalIterator()]
+    return spark.read.option("basePath", f"{root.rstrip('/')}/history").parquet(*paths).drop("version")
 
 
 def expired(snapshots: DataFrame, keep: int = fixed.SNAPSHOTS_KEPT) -> DataFrame:
-    """Snapshots beyond the newest n."""
-    return snapshots.orderBy(F.col("created_at").desc(), F.col("snapshot_id").desc()).offset(keep)
+    """Snapshots beyond the newest n: those before the oldest of the n to keep, which is found as a top-k."""
+    if keep < 1:
+        return snapshots
+    age = F.struct(F.coalesce("created_at", F.lit("")).alias("c"), F.coalesce("snapshot_id", F.lit("")).alias("s"))
+    oldest = snapshots.select(age.alias("age")).orderBy(F.col("age").desc()).limit(keep).agg(F.min("age")).scalar()
+    return snapshots.where(age < oldest)
 
 
 def prune(spark: SparkSession, root: str, keep: int = fixed.SNAPSHOTS_KEPT) -> list[str]:
-    """Delete expired snapshots: catalogue row first, then data. Only ids travel to the driver."""
+    """Delete expired snapshots and versions that were replaced: pointers first, then data. Only paths and ids travel
+    to the driver; the ids of expired snapshots are returned."""
     gone = [r.snapshot_id for r in expired(catalogue(spark, root), keep).select("snapshot_id").toLocalIterator()]
-    for sid in gone:
-        for path in (f"{root}/catalogue/{sid}", f"{root}/history/snapshot_id={sid}"):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    pointers = _pointers(spark, root)
+    current = pointers.groupBy("snapshot_id").agg(F.max_by("_entry", F.struct("pointed_at", "_entry")).alias("_entry"))
+    replaced = pointers.join(current.select("_entry"), "_entry", "left_anti") if not gone else pointers.join(
+        current.where(~F.col("snapshot_id").isin(*gone)).select("_entry"), "_entry", "left_anti")
+    for row in list(replaced.select("_entry", F.col("files")["records"].alias("path")).toLocalIterator()):
+        _delete(spark, row["_entry"])
+        if row["path"]:
+            _delete(spark, row["path"])
     return gone
 
 

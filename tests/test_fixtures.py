@@ -315,7 +315,82 @@ def test_failed_publishing_keeps_the_snapshot(spark, sf, tmp_path):
     first = publish(spark, raw, str(tmp_path), "s1", "2026-01-01").count()
     with pytest.raises(RuntimeError):
         publish(spark, raw.limit(0), str(tmp_path), "s1", "2026-01-02", raw_record_count=0)
-    assert first and spark.read.parquet(f"{tmp_path}/history/snapshot_id=s1").count() == first
+    assert first and SN.history(spark, str(tmp_path)).count() == first
+
+
+def test_a_run_killed_before_its_pointer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    """Whatever a stopped run has written, readers see the snapshot as it was; a later run and pruning clean up."""
+    root = str(tmp_path)
+    rows = N.canonicalize(offers(spark, dict(), dict(retailer="B")))
+    SN.publish(spark, rows, root, "s1", "2026-01-01")
+    killed = F.raise_error(F.lit("killed"))
+    with pytest.raises(Exception, match="killed"):  # while rows are written
+        SN.publish(spark, rows.withColumn("model", F.when(F.col("retailer") == "B", killed).otherwise(F.col("model"))), root, "s1", "2026-01-02")
+    with monkeypatch.context() as patch:  # between the rows and the pointer
+        patch.setattr(F, "create_map", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            SN.publish(spark, rows.where("retailer <> 'B'"), root, "s1", "2026-01-03")
+    assert SN.history(spark, root).count() == 2 and SN.catalogue(spark, root).first().created_at == "2026-01-01"
+    SN.publish(spark, rows.where("retailer <> 'B'"), root, "s1", "2026-01-04")
+    assert SN.history(spark, root).count() == 1 and SN.catalogue(spark, root).first().created_at == "2026-01-04"
+    assert SN.prune(spark, root) == [] and SN.history(spark, root).count() == 1
+    assert len(list((tmp_path / "catalogue").iterdir())) == 1
+
+
+def test_history_reads_only_the_partitions_of_a_snapshot(spark, tmp_path):
+    from offerscope.operators.profile import evolution
+
+    root = str(tmp_path)
+    rows = N.canonicalize(offers(spark, dict(), dict(retailer="B")))
+    for day in range(1, 6):
+        SN.publish(spark, rows, root, f"s{day}", f"2026-01-0{day}")
+    assert sorted(r.snapshot_id for r in SN.expired(SN.catalogue(spark, root), 2).collect()) == ["s1", "s2", "s3"]
+    assert SN.expired(SN.catalogue(spark, root), 9).count() == 0 and SN.expired(SN.catalogue(spark, root), 0).count() == 5
+    trend = evolution(SN.history(spark, root), SN.catalogue(spark, root), 2)
+    assert {r.snapshot_id for r in trend.collect()} == {"s4", "s5"}
+    plan = trend._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_id" in plan and "(snapshot_id" in plan and "subquery" in plan.lower()
+
+
+def test_object_cut_out_of_html(spark):
+    from offerscope.operators.payloads import objects_in_html
+
+    good = '{"a":"} { \\" }","b":{"c":[{"d":1}]}}'
+    pages = [(1, f"x productSelectionData:  {good}, more: {{}}"), (2, 'productSelectionData: {"open":"}"'), (3, "no key"), (4, None), (5, "productSelectionData:{}")]
+    got = {r.page_id: r.payload for r in objects_in_html(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert got == {1: good, 5: "{}"}
+
+
+def test_names_in_questions_with_hot_endings(spark):
+    from offerscope.operators.filters import longest_contained
+
+    names = [f"phone {i} 256 gb" for i in range(300)] + ["tv", "tv 5", "x", "phone 7 256 gb plus", "Ünï"]
+    texts = [f"price of phone {i} 256 gb?" for i in range(0, 300, 7)] * 3 + ["a tv 5 please", "tv", "256 gb", "", "phone 7 256 gb plus", "uni 1", None]
+    questions = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "question_id int, text string")
+    got = longest_contained(questions, spark.createDataFrame([(n,) for n in names], "name string"), "text", "found")
+    folded = {n: n.lower().replace("ü", "u").replace("ï", "i") for n in names}
+    want = [max((n for n in names if t and folded[n] in t), key=lambda n: (len(n), [-ord(c) for c in n]), default=None) for t in texts]
+    assert [r.found for r in got.orderBy("question_id").collect()] == want and got.columns == ["question_id", "text", "found"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_pages_by_their_last_row(spark):
+    from offerscope.operators import ordering as W
+
+    rows = [((i * 7) % 23, i % 5, None if i % 6 == 0 else float(i % 4), None if i % 5 == 0 else f"M{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b int, price_value double, model string").withColumn("_ord", F.struct("a", "b"))
+    for by in ("price_value", "model"):
+        for desc in (False, True):
+            whole = [r.asDict() for r in W.sort_offers(df, by, desc).collect()]
+            got, last = W.page(df, 1, 7, by, desc).collect(), None
+            while True:
+                last = W.page_after(df, got[-1], 7, by, desc).collect()
+                if not last:
+                    break
+                got += last
+            assert [r.asDict() for r in got] == whole, (by, desc)
+    assert {r.total for r in W.with_total(W.page(df, 2, 5), df).collect()} == {40}
 
 
 def test_product_list_at_any_depth(spark):
