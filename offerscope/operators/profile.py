@@ -44,7 +44,7 @@ def by_model(offers: DataFrame, n: int = fixed.TOP_MODELS) -> DataFrame:
         offers.where(PRICED).where("model <> ''").groupBy("model")
         .agg(_mean().alias("mean_price"), F.count("*").alias("n"), F.min("_ord").alias("_first"))
         .orderBy(F.col("n").desc(), "_first").limit(n)
-        .select("model", "mean_price", "n")
+        .select("model", "mean_price", "n").orderBy("mean_price", F.col("n").desc(), "model")
     )
 
 

@@ -326,6 +326,14 @@ ORACLE = {
  CASE WHEN regexp_matches(name, '(?i)galaxy[\\w\\s+\\-]') THEN 'Samsung ' || regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_extract(name, '(?i)(Galaxy[\\w\\s+\\-]{{1,40}})', 1),
  '\\s+', ' ', 'g')), '(?i)\\b\\d{{2,4}}\\s*GB\\b', '', 'g')), '[\\s\\-_/]+$', '') ELSE 'Samsung Galaxy' END AS model, {_SIG.replace('{x}', 'name')} AS signature,
  regexp_matches(lower(name), '\\bs\\s*25\\b') AS focus FROM c""",
+    # model names written out by hand, as they follow from how the titles are made
+    "f12_brand_models": f"""WITH t AS (SELECT DISTINCT p_partkey, {TITLE} AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+ made AS (SELECT DISTINCT 'Apple' AS brand, name, 'Apple MacBook Air' || CASE WHEN p_partkey BETWEEN 13 AND 16 THEN ' ' || p_partkey ELSE '' END || ' M' || (p_partkey % 5 + 1) AS model FROM t WHERE name LIKE 'Apple%'
+ UNION SELECT DISTINCT 'Samsung', name, CASE WHEN regexp_matches(name, '(?i)galaxy[\\w\\s+\\-]') THEN 'Samsung ' || regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_extract(name, '(?i)(Galaxy[\\w\\s+\\-]{{1,40}})', 1),
+  '\\s+', ' ', 'g')), '(?i)\\b\\d{{2,4}}\\s*GB\\b', '', 'g')), '[\\s\\-_/]+$', '') ELSE 'Samsung Galaxy' END FROM t WHERE name NOT LIKE 'Apple%'
+ UNION SELECT DISTINCT 'Apple', {APPLE_TITLE.replace('element_at(array(', 'list_extract(list_value(')}, CASE p_partkey % 8 WHEN 0 THEN 'Apple iPhone ' || (p_partkey % 4 + 14) || ' Pro Max' WHEN 1 THEN 'Apple iPhone Air'
+  WHEN 2 THEN 'Apple iPad ' || list_extract(['Pro', 'Air', 'Mini', '10th'], p_size % 4 + 1) || ' M' || (p_partkey % 5 + 1) || ' 11 WiFi+Cell' WHEN 3 THEN 'Apple MacBook ' || list_extract(['Air', 'Pro'], p_size % 2 + 1) || ' 14 M4 Pro'
+  WHEN 4 THEN 'Apple iMac 24 M' || (p_partkey % 5 + 1) WHEN 5 THEN 'Apple Mac Mini M4' WHEN 6 THEN 'Apple Mac Studio M2 Ultra' ELSE 'Apple' END FROM part) SELECT * FROM made""",
     "f9_suggestions": over_offers(_QO + """, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, title, capacity_gb, retailer ORDER BY confidence DESC, _ord) = 1)
  SELECT query_id, CAST(place AS INT) AS place, title, capacity_gb, retailer, loose FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY loose DESC, confidence DESC,
  coalesce(price, 0), _ord) AS place FROM u) WHERE place <= 3"""),

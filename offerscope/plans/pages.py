@@ -11,7 +11,7 @@ from offerscope.operators import extract as E
 from offerscope.operators import payloads as J
 from offerscope.plans.sqltext import norm, num, r2
 from offerscope.plans.texts import AMT, CENTS, GROUPED, WHOLE, spanish
-from offerscope.sources.tables import MODEL_EXPR, read_table, spread
+from offerscope.sources.tables import CAPACITY_EXPR, DEVICE_EXPR, MODEL_EXPR, read_table, spread
 
 K = "CAST(p_partkey AS STRING)"
 S = "CAST({} AS STRING)"
@@ -140,13 +140,39 @@ def e4(spark, sf):
                                    E.free_purchase_price(t, normalize_text(t)).alias("outright"))
 
 
+def seeds(spark, sf):
+    """The product that a page was looked up for: the first of those whose page reads the same."""
+    li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.md5(F.concat_ws("|", F.expr(RETAILER), F.expr(TEXT))).alias("page_id"), F.struct(
+            "p_partkey", F.col("p_brand").alias("brand"), F.expr(DEVICE_EXPR).alias("device_type"), F.expr(MODEL_EXPR).alias("model"), F.expr(f"CAST({CAPACITY_EXPR} AS INT)").alias("capacity_gb")).alias("s"))
+    return rows.groupBy("page_id").agg(F.min("s").alias("s")).select("page_id", "s.brand", "s.device_type", "s.model", "s.capacity_gb")
+
+
 def e11(spark, sf):
-    pages = texts(spark, sf)
-    seeds = pages.select("page_id", F.lit("Samsung").alias("brand"), F.lit("mobile").alias("device_type"),
-                         F.substring("text", 1, 18).alias("model"), F.lit(256).alias("capacity_gb"))
-    found = E.extract_offers(pages).drop("price_unit").withColumns(
+    found = E.extract_offers(texts(spark, sf)).drop("price_unit").withColumns(
         {"tier": F.when(F.col("retailer") == "Fnac", "json_live").otherwise("dom"), "capture_kind": F.lit("")})
-    return E.to_records(found, seeds).withColumn("price_value", F.col("price_value").cast("double"))
+    return E.to_records(found, seeds(spark, sf)).withColumn("price_value", F.col("price_value").cast("double"))
+
+
+def e11_sql() -> str:
+    return f"""SELECT 'ES' AS country, o.retailer, s.p_brand AS product_family, s.p_brand AS brand, s.device AS device_type, s.model, s.capacity_gb, o.offer_type, o.price AS price_value,
+ printf('%.2f', o.price) || ' EUR' AS price_text, o.price_unit, o.term_months, CASE WHEN o.retailer = 'Fnac' THEN 'json_live' ELSE 'dom' END AS data_quality_tier,
+ CASE WHEN o.retailer IN ('Movistar', 'Fnac') THEN 'embedded_json_exact' WHEN o.retailer = 'Media Markt' AND o.offer_type = 'financing_max_term' THEN 'api_exact' ELSE 'visible_dom' END AS price_capture_kind
+ FROM ({e2_sql()}) o JOIN (SELECT md5({RETAILER} || '|' || {TEXT}) AS page_id, p_brand, {DEVICE_EXPR} AS device, {MODEL_EXPR} AS model, CAST({CAPACITY_EXPR} AS INT) AS capacity_gb
+  FROM lineitem JOIN part ON l_partkey = p_partkey QUALIFY row_number() OVER (PARTITION BY md5({RETAILER} || '|' || {TEXT}) ORDER BY p_partkey) = 1) s USING (page_id)"""
+
+
+def e4_sql() -> str:
+    value = "(?i)" + E.EURO_AMOUNT + "\\s*(?:€|eur)"
+    amounts = lambda x: f"list_transform(regexp_extract_all({x}, '{value}', 1), lambda a: {spanish('a')})"
+    blocks = []
+    for word in ("compralo libre", "compra libre", "libre"):
+        block = f"regexp_replace(CASE WHEN contains(f, '{word}') THEN substr(text, strpos(f, '{word}'), 520) END, '(?is)(?:\\bcomprar\\b|\\beres cliente\\b|caracter[ií]sticas principales).*$', '')"
+        once = f"regexp_replace({block}, '{E.MONTHLY_SUFFIX}', ' ', 'g')"
+        found = amounts(once)
+        blocks.append(f"CASE WHEN list_extract({found}, -1) >= 100 THEN list_extract({found}, -1) ELSE coalesce(list_extract(list_filter({found}, lambda v: v >= 100), -1), list_extract({found}, -1)) END")
+    return TEXTS + f""" SELECT page_id, CASE WHEN list_max({amounts('text')}) >= 100 THEN list_max({amounts('text')}) END AS largest, coalesce({', '.join(blocks)}) AS outright FROM pg"""
 
 
 def e6(spark, sf):
@@ -245,6 +271,8 @@ _E4 = f"list_transform(regexp_extract_all(text, '{E.EURO_VALUE}', 1), lambda v:
 
 ORACLE = {
     "e1_keyword_offers": e1_sql(),
+    "e4_full_prices": e4_sql(),
+    "e11_records": e11_sql(),
     "e2_rule_offers": e2_sql(),
     "e2_uninsured": TEXTS + f""" SELECT page_id, 'renting_no_insurance' AS offer_type, {spanish(_x(E.UNINSURED, 1, 'text'))} AS price, 36 AS term_months,
  'EUR/month' AS price_unit FROM (SELECT DISTINCT page_id, text FROM pg) WHERE {spanish(_x(E.UNINSURED, 1, 'text'))} > 0""",

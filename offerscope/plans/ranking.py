@@ -164,7 +164,7 @@ QUERIES = {
     "w9_interleave": _q(lambda o: W.interleave(o, 500).select(*ROW, "device_type", F.col("turn").cast("bigint").alias("turn"))),
     "w10_top_offers": _q(lambda o: W.top_k(o.where("price_value IS NOT NULL"), [F.col("price_value"), F.col("_ord")], 40, 25).select(*ROW, price())),
     "w11_terms_per_model": _q(w11_terms),
-    "w12_union": _q(lambda o: o.where("in_stock").unionByName(o.where("NOT in_stock")).groupBy("retailer").agg(F.count("*").alias("n"))),
+    "w12_union": _q(lambda o: o.where("in_stock").unionByName(o.where("NOT in_stock")).select(*ROW, "in_stock", price())),
     "w13_shared_with_base": _q(lambda o: o.where("retailer = 'Amazon'").select("model", "capacity_gb").intersect(
         o.where("retailer = 'Home Store'").select("model", "capacity_gb"))),
     "w14_missing_vs_base": _q(w14),
@@ -249,7 +249,7 @@ ORACLE = {
     "w10_top_offers": over_offers(f"SELECT {ROWSQL} FROM offers WHERE price_value IS NOT NULL ORDER BY price_value, _ord LIMIT 25"),
     "w11_terms_per_model": over_offers("""SELECT DISTINCT model, term_months FROM offers WHERE offer_type = 'financing_max_term'
  AND term_months IS NOT NULL"""),
-    "w12_union": over_offers("SELECT retailer, count(*) AS n FROM offers WHERE in_stock IS NOT NULL GROUP BY 1"),
+    "w12_union": over_offers(f"SELECT {ROWSQL}, in_stock FROM offers WHERE in_stock IS NOT NULL"),
     "w13_shared_with_base": over_offers("""SELECT model, capacity_gb FROM offers WHERE retailer = 'Amazon' INTERSECT
  SELECT model, capacity_gb FROM offers WHERE retailer = 'Home Store'"""),
     "w14_missing_vs_base": over_offers("""SELECT device_type, model, capacity_gb FROM offers WHERE retailer = 'Home Store'

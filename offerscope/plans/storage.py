@@ -104,20 +104,25 @@ def s10(spark, sf):
     return _shown(IN.read_offers(spark, path))
 
 
+def _values(df, kind):
+    """Values as read back, empty as null."""
+    price = F.nullif(F.col("price_value").cast("string"), F.lit("")).cast("double")
+    return df.select(F.lit(kind).alias("kind"), "retailer", "model", F.nullif(F.col("capacity_gb").cast("string"), F.lit("")).cast("int").alias("capacity_gb"), "offer_type",
+                     F.nullif(F.col("term_months").cast("string"), F.lit("")).cast("int").alias("term_months"), price.alias("price"), "source_title", "extracted_at")
+
+
 def s11(spark, sf):
+    """Both files, value by value."""
     path = shared_dir(spark, "records")
     OUT.write_records(offers(spark, sf), path)
-    a = IN.read_csv_text(spark, f"{path}/csv").select("retailer", "model", "offer_type", "price_value")
-    b = spark.read.json(f"{path}/json").select("retailer", "model", "offer_type", "price_value")
-    n = a.groupBy("retailer").agg(F.count("*").alias("csv_rows"), F.count("price_value").alias("csv_prices"))
-    m = b.groupBy("retailer").agg(F.count("*").alias("json_rows"), F.count("price_value").alias("json_prices"))
-    return n.join(m, "retailer")
+    return _values(IN.read_csv_text(spark, f"{path}/csv"), "csv").unionByName(_values(spark.read.json(f"{path}/json"), "json"))
 
 
 def s12(spark, sf):
     path = shared_dir(spark, "unified")
     OUT.write_unified(offers(spark, sf), path, "2001-11.csv")
-    return IN.read_csv_text(spark, path).groupBy("source_snapshot", "source_snapshots", "retailer").agg(F.count("*").alias("n"))
+    read = IN.read_csv_text(spark, path)
+    return _values(read.where("source_snapshot = source_snapshots"), "unified").withColumn("source_snapshot", F.lit("2001-11.csv"))
 
 
 def s13(spark, sf):
@@ -187,6 +192,8 @@ _CANON = over_raw(CANON + f" SELECT {SHOWN} FROM canon")
 _TWICE = over_raw(CANON + f" SELECT {SHOWN} FROM (SELECT * REPLACE ({_KIND} AS price_capture_kind) FROM canon)")
 _DEDUPED = over_raw(CANON + FEATURES + f" SELECT {SHOWN} FROM ({_dedupe_sql('reasons')})")
 
+_READ = f"retailer, model, capacity_gb, offer_type, term_months, {dbl('price_value')} AS price, source_title, extracted_at"
+
 ORACLE = {
     "s1_read_csv": _CANON, "s2_read_records_json": _CANON, "s10_raw_csv": _TWICE, "s9_canonical_csv": _DEDUPED, "s14_publish": _DEDUPED,
     "s3_snapshot_catalogue": over_offers("""SELECT snapshot_id, max(extracted_at) AS created_at, 'scheduled' AS mode, 'all' AS brand_scope,
@@ -196,9 +203,8 @@ ORACLE = {
     "s6_lines_after": "SELECT event_id AS index, event_type AS event FROM events WHERE event_id >= 100",
     "s7_read_targets": "SELECT p_name AS model, p_size AS capacity_gb, p_brand AS brand FROM part WHERE p_brand IN ('Brand#7', 'Brand#9')",
     "s8_load_newest": over_offers(f"SELECT {SHOWN} FROM offers WHERE snapshot_id = (SELECT max(snapshot_id) FROM offers)"),
-    "s11_records": over_offers("""SELECT retailer, count(*) AS csv_rows, count(price_value) AS csv_prices, count(*) AS json_rows,
- count(price_value) AS json_prices FROM offers GROUP BY 1"""),
-    "s12_unified": over_offers("SELECT '2001-11.csv' AS source_snapshot, '2001-11.csv' AS source_snapshots, retailer, count(*) AS n FROM offers GROUP BY ALL"),
+    "s11_records": over_offers(f"SELECT kind, {_READ} FROM offers, (SELECT unnest(['csv', 'json']) AS kind)"),
+    "s12_unified": over_offers(f"SELECT 'unified' AS kind, '2001-11.csv' AS source_snapshot, {_READ} FROM offers"),
     "s13_flat": over_offers(f"""SELECT retailer, model, offer_type, term_months, CASE WHEN coalesce(term_months, 0) <> 0
  THEN {r2('CAST(price_value AS DOUBLE) * term_months')} ELSE CAST(price_value AS DOUBLE) END AS total_cost FROM offers"""),
     "s14_catalogue_row": over_raw(CANON + FEATURES + f""", d AS ({_dedupe_sql('reasons')}) SELECT '2001-11' AS snapshot_id, '2001-11-30T00:00:00+00:00' AS created_at,

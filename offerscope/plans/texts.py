@@ -186,6 +186,31 @@ QUERIES = {
 }
 
 
+def _placed(phrases: str, source: str, order: str = "first") -> str:
+    """Phrases of a list without nulls and repeats, numbered in order."""
+    return f"""WITH s AS ({source}), u AS (SELECT p_partkey, unnest({phrases}) AS query, generate_subscripts({phrases}, 1) AS nr FROM s),
+ d AS (SELECT p_partkey, query, min(nr) AS first FROM u WHERE query IS NOT NULL AND query <> '' GROUP BY ALL)
+ SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY {order}) - 1 AS INT) AS place, query FROM d"""
+
+
+def _squeezed(x):
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+# Brands stand at the beginning of the model; codes are 'NP-<number>', for laptops only.
+_SEARCH = _placed(f"list_transform([base, core, base || ' ' || size, core || ' ' || size, base || ' ' || kind, core || ' ' || kind, base || ' ' || size || ' ' || kind, core || ' ' || size || ' ' || kind, sku, p_brand || ' ' || sku,"
+                  f" base || ' ' || sku, root, p_brand || ' ' || root, base || ' ' || root], lambda q: {_squeezed('q')})",
+                  f"""SELECT p_partkey, p_brand, p_brand || ' ' || tail AS base, {_squeezed("p_brand || ' ' || regexp_replace(lower(tail), '\\b(wifi|wi fi|5g|lte)\\b', ' ', 'g')")} AS core,
+  CASE WHEN p_size % 3 <> 0 THEN CAST(p_size * 8 AS VARCHAR) || 'GB' END AS size, CASE p_type WHEN 'LARGE' THEN 'portatil' WHEN 'SMALL' THEN 'tablet' ELSE 'movil' END AS kind,
+  CASE WHEN p_type = 'LARGE' THEN 'NP-' || p_partkey END AS sku, CASE WHEN p_type = 'LARGE' THEN 'NP' END AS root
+  FROM (SELECT *, p_name || CASE p_partkey % 3 WHEN 0 THEN ' 5G' ELSE ' pro' END AS tail FROM part)""")
+# the first phrase, then codes (no blank, a letter and a digit), then the rest
+_SPELLING = _placed("list_concat(list_transform(CASE p_partkey % 4 WHEN 0 THEN [p_name || ' 5G', p_name] WHEN 1 THEN [p_name || '+', p_name || ' Plus'] WHEN 2 THEN [p_name || ' Wi Fi', p_name || ' WiFi', p_name || ' Wi-Fi'] ELSE [p_name] END, lambda n: n || size),"
+                    " CASE WHEN p_partkey % 5 = 0 THEN [] ELSE ['SM' || p_partkey || '_EU', 'SM' || p_partkey || '/EU', 'SM' || p_partkey] END)",
+                    "SELECT p_partkey, p_name, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' 2TB' ELSE ' 256GB' END AS size FROM part",
+                    "first <> 1, NOT (NOT contains(query, ' ') AND regexp_matches(query, '(?i)[a-z]') AND regexp_matches(query, '\\d')), first")
+
+
 def _both(t):
     return f"(contains({t}, ',') AND contains({t}, '.'))"
 
@@ -253,6 +278,8 @@ LISTED = f"""(regexp_matches({_PATH}, '/search|/buscar|/buscador|/result|/result
 _COL = "CASE " + " ".join(f"WHEN contains(nm, '{c}') THEN '{c.capitalize()}'" for c in LS.COLOURS) + " ELSE '' END"
 
 ORACLE = {
+    "p16_search_queries": _SEARCH,
+    "p20_spelling_queries": _SPELLING,
     "p1_to_p8_price_parsers": _NAMED + f""" SELECT {', '.join(ID)}, text,
  {num("replace(replace(replace(translate(text, ' €', ''), 'EUR', ''), 'eur', ''), ',', '.')")} AS public,
  {num(_dot('text'))} AS grid, {num(f"CASE WHEN {_both('a')} THEN {_lastsep('a')} ELSE {_dot('a')} END")} AS audit,
