@@ -195,12 +195,18 @@ def l8(spark, sf):
     return prov.select("l_partkey", X.is_marketplace(F.col("providers")).alias("marketplace"))
 
 
+# pages with a counterpart, with tiers only, and without either, of both families
+PAGE_URL = """'https://www.apple.com/es/shop/buy-' || CASE p_partkey % 2 WHEN 0 THEN 'ipad/ipad-' ELSE 'iphone/iphone-' END || CASE p_partkey % 5 WHEN 0 THEN 'pro-' || CAST(p_partkey AS STRING)
+ WHEN 1 THEN 'pro' WHEN 2 THEN CAST(p_partkey AS STRING) WHEN 3 THEN 'pro-max-' || CAST(p_partkey + 100000 AS STRING) ELSE 'comprar' END"""
+PAGE_MODEL = """CASE p_partkey % 2 WHEN 0 THEN 'Apple iPad ' ELSE 'Apple iPhone ' END || CASE p_partkey % 3 WHEN 0 THEN 'Pro ' WHEN 1 THEN 'Pro Max ' ELSE '' END || CAST(p_partkey AS STRING)"""
+
+
 def f4a(spark, sf):
+    """Targets per page and rule: how many, the least, the greatest, the sum of their ids."""
     p = read_table(spark, sf, "part")
-    pages = p.select(F.col("p_partkey").alias("page_id"), F.expr(
-        "'https://www.apple.com/es/shop/buy-' || CASE p_partkey % 2 WHEN 0 THEN 'ipad/ipad-pro-' ELSE 'iphone/iphone-pro-' END || CAST(p_partkey AS STRING)").alias("url"))
-    t = p.select(F.col("p_partkey").alias("target_id"), F.expr("CASE p_partkey % 2 WHEN 0 THEN 'Apple iPad Pro ' ELSE 'Apple iPhone Pro ' END || CAST(p_partkey AS STRING)").alias("model"))
-    return M.targets_for_page(pages, t)
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.expr(PAGE_URL).alias("url"))
+    found = M.targets_for_page(pages, p.select(F.col("p_partkey").alias("target_id"), F.expr(PAGE_MODEL).alias("model")))
+    return found.groupBy("page_id", "rule").agg(F.count("*").alias("n"), F.min("target_id").alias("least"), F.max("target_id").alias("greatest"), F.sum("target_id").alias("total"))
 
 
 QUERIES = {
@@ -342,7 +348,7 @@ ORACLE = {
  t AS (SELECT *, CASE WHEN p_capacity IS NULL AND n_sizes > 1 THEN 'needs_clarification' WHEN n_good > 0 THEN 'completed' WHEN n > 0 THEN 'needs_clarification' ELSE 'not_found' END AS status FROM a)
  SELECT query_id, status, n_good, n_sizes, CASE WHEN status = 'completed' THEN bp END AS best_price FROM t"""),
     "l8_marketplace": "SELECT l_partkey, bool_or(l_suppkey % 7 = 0) AS marketplace FROM lineitem GROUP BY 1",
-    "f4a_targets_for_page": "SELECT p_partkey AS page_id, p_partkey AS target_id, 'exact' AS rule FROM part",
+    "f4a_targets_for_page": S.page_targets(PAGE_URL, PAGE_MODEL),
     "a22_comparison_wide": _WIDE + " SELECT * FROM wide",
     "a24_category_summary": _WIDE + f""", r AS (SELECT category, brand, coalesce(home_renting, home_purchase) AS b, {_LOW} AS lo,
  greatest(amazon_purchase, mediamarkt_purchase, rentik_renting, grover_renting) AS hi FROM wide) SELECT category, brand, count(*) AS n, min(b) AS min_base, max(b) AS max_base,

@@ -314,3 +314,15 @@ def accepted(levels) -> str:
   {apple_words('m')} AS aw, {apple_words('mix')} AS af, {sizes} AS sizes FROM b),
  e AS (SELECT *, {device_ok} AS device_ok FROM d)
  SELECT {columns}, CASE retailer {arms} ELSE false END AS accepted FROM e"""
+
+
+def page_targets(url: str, model: str) -> str:
+    """Every page against every target, rule by rule."""
+    digits = lambda x: f"array_to_string(list_sort(list_distinct(regexp_extract_all({x}, '\\d+'))), ' ')"
+    return f"""WITH p AS (SELECT page_id, contains(url, '/buy-ipad/') AS ipad, {digits('slug')} AS num, {listed('slug', X.TIERS)} AS tiers FROM (
+  SELECT p_partkey AS page_id, {url} AS url, replace(regexp_extract({url}, '[^/]*$'), '-', ' ') AS slug FROM part)),
+ t AS (SELECT target_id, contains(n, 'ipad') AS t_ipad, {digits('n')} AS t_num, {listed('n', X.TIERS)} AS t_tiers FROM (SELECT p_partkey AS target_id, {clean(model)} AS n FROM part)),
+ exact AS (SELECT page_id, target_id, 'exact' AS rule FROM p JOIN t ON num = t_num AND tiers = t_tiers AND (NOT ipad OR t_ipad)),
+ loose AS (SELECT page_id, target_id, 'fallback' AS rule FROM p JOIN t ON (NOT ipad OR t_ipad) AND (tiers = '' OR len(list_filter(string_split(tiers, ' '), lambda w: NOT list_contains(string_split(t_tiers, ' '), w))) = 0)
+  WHERE page_id NOT IN (SELECT page_id FROM exact))
+ SELECT page_id, rule, count(*) AS n, min(target_id) AS least, max(target_id) AS greatest, CAST(sum(target_id) AS BIGINT) AS total FROM (SELECT * FROM exact UNION ALL SELECT * FROM loose) GROUP BY ALL"""
