@@ -35,6 +35,7 @@ SOURCES = {
     "apple_store": (None, "apple_official"),
     "samsung_store": (None, "samsung_official"),
 }
+URLS = {"home_store": "home_url", "rentik": "rentik_url", "grover": "grover_url", "movistar": "movistar_url"}
 MARKET = ("amazon_purchase", "mediamarkt_purchase", "rentik_renting", "grover_renting")
 
 
@@ -100,25 +101,35 @@ def group_products(products: DataFrame, threshold: float = GROUP_THRESHOLD) -> D
 def comparison_wide(prices: DataFrame) -> DataFrame:
     """One row per group: cheapest renting and purchase price per source, and the reference product.
 
-    ``prices``: group_key, name, brand, category, source, price_type, price, _ord. The reference is the
-    first product with a price at the base source, else the first product.
+    ``prices``: group_key, name, brand, category, source, price_type, price, url, installments, _ord. The reference is the
+    first product with a price at the base source, else the first product. Urls are those of the cheapest price; the base
+    source has two prices, the one that arrived later gives the url. Its instalments are those of the cheapest rent.
     """
-    aggs = []
+    arrival = F.struct("price", "_ord")
+    aggs, urls = [], []
     for source, (renting, purchase) in SOURCES.items():
         for kind, column in (("renting", renting), ("purchase", purchase)):
             if column:
-                hit = (F.col("source") == source) & (F.col("price_type") == kind)
-                aggs.append(F.min(F.when(hit, F.col("price"))).alias(column))
+                hit = (F.col("source") == source) & (F.col("price_type") == kind) & F.col("price").isNotNull()
+                aggs.append(F.min_by(F.struct("price", "url", "installments", "_ord"), F.when(hit, arrival)).alias(f"_{column}"))
+    for source, url in URLS.items():
+        renting, purchase = SOURCES[source]
+        found = F.col(f"_{renting}.url")
+        if purchase:
+            later = F.coalesce(F.col(f"_{renting}._ord") > F.col(f"_{purchase}._ord"), F.col(f"_{purchase}").isNull())
+            found = F.when(later, found).otherwise(F.col(f"_{purchase}.url"))
+        urls.append(found.alias(url))
     order = F.struct((F.col("source") != "home_store").alias("away"), F.col("_ord").alias("o"))
     ref = F.min_by(F.struct("name", "brand", "category"), order).alias("ref")
-    out = prices.groupBy("group_key").agg(ref, *aggs)
-    deltas = [
-        pct_from(F.col(col), F.nullif(F.col(base), F.lit(0.0)), 1).alias(f"{col}_delta")
+    names = [c for pair in SOURCES.values() for c in pair if c]
+    out = prices.groupBy("group_key").agg(ref, *aggs).select(
+        "group_key", "ref.name", "ref.brand", "ref.category", *(F.col(f"_{c}.price").alias(c) for c in names), *urls, F.col("_home_renting.installments").alias("home_instalments"))
+    deltas = {
+        f"{col}_delta": pct_from(F.col(col), F.nullif(F.col(base), F.lit(0.0)), 1)
         for col, base in (("rentik_renting", "home_renting"), ("grover_renting", "home_renting"), ("movistar_renting", "home_renting"),
                           ("amazon_purchase", "home_purchase"), ("mediamarkt_purchase", "home_purchase"))
-    ]
-    names = [c for pair in SOURCES.values() for c in pair if c]
-    return out.select("group_key", "ref.name", "ref.brand", "ref.category", *names, *deltas)
+    }
+    return out.withColumns(deltas)
 
 
 def category_summary(wide: DataFrame) -> DataFrame:

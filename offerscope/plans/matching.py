@@ -68,6 +68,19 @@ def brand_models(spark, sf):
     return t.select("brand", "name", X.model_for_brand(F.col("name"), F.col("brand")).alias("model"))
 
 
+FOCUS_DEVICE = "CASE WHEN length(name) % 5 = 0 THEN 'tablet' ELSE 'mobile' END"
+FOCUS_TITLE = """CASE p_partkey % 5 WHEN 0 THEN 'Apple iPhone ' || CAST(15 + p_partkey % 4 AS STRING) || ' 256 GB' WHEN 1 THEN 'iPhone  Air ' || p_name WHEN 2 THEN 'iPhone 17 Pro seminuevo'
+ WHEN 3 THEN 'Apple iPhone 17e segunda mano' ELSE 'Apple Watch ' || p_name END"""
+
+
+def focus(spark, sf):
+    """Titles of both brands: whether they are in focus, second hand, or an accessory."""
+    galaxy = titles(spark, sf).select(F.lit("Samsung").alias("brand"), F.expr("replace(name, 'Galaxy S2', 'Galaxy S 2')").alias("name"))
+    rows = galaxy.union(read_table(spark, sf, "part").select(F.lit("Apple"), F.expr(FOCUS_TITLE))).distinct().withColumn("device", F.expr(FOCUS_DEVICE))
+    n = F.col("name")
+    return rows.select("brand", "name", "device", X.in_focus(F.col("device"), F.col("brand"), n).alias("focus"), X.is_second_hand(n).alias("second_hand"), X.is_accessory(n).alias("accessory"))
+
+
 def pairs(spark, sf):
     """Titles beside the target of the same part: candidates a search for the target returned."""
     li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
@@ -162,13 +175,17 @@ SOURCE = """CASE l_suppkey % 9 WHEN 0 THEN 'home_store' WHEN 1 THEN 'rentik' WHE
 KIND = "CASE l_returnflag WHEN 'R' THEN 'renting' ELSE 'purchase' END"
 
 
+POINT_URL = "'https://shop.example/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING)"
+
+
 def price_points(spark, sf):
     """Price points grouped by the exact model key; the fuzzy merge is the query above."""
     li, p = spread(read_table(spark, sf, "lineitem")), read_table(spark, sf, "part")
     rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(G.model_key(F.concat_ws(" ", "p_name", "p_partkey")).alias("group_key"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"),
                        F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.expr(SOURCE).alias("source"), F.expr(KIND).alias("price_type"),
-                       F.col("l_extendedprice").alias("price"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("_ord"))
+                       F.col("l_extendedprice").alias("price"), F.expr(POINT_URL).alias("url"), F.expr("CASE WHEN l_linenumber > 1 THEN l_linenumber * 6 END").alias("installments"),
+                       F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("_ord"))
 
 
 def f6(spark, sf):
@@ -228,6 +245,7 @@ QUERIES = {
     "f14_connectivity_clash": lambda spark, sf: pairs(spark, sf).select("model", "title", X.connectivity_clash(F.col("model"), F.col("title")).alias("clash"),
                                                                         X.family_matches(F.col("title"), F.col("model")).alias("family"), X.variant_clash(F.col("title"), F.col("model")).alias("variant")).distinct(),
     "f15_search_cards": f15,
+    "l7_focus": focus,
     "l8_marketplace": l8,
     "h8_catalogue_outcome": lambda spark, sf: M.match_catalogue(titles(spark, sf), targets(spark, sf)).select((F.col("score") >= 100).alias("exact")).groupBy("exact").agg(F.count("*").alias("n")),
     "a22_comparison_wide": lambda spark, sf: G.comparison_wide(price_points(spark, sf)),
@@ -237,7 +255,7 @@ QUERIES = {
 
 _PP = f"""WITH pp AS MATERIALIZED (SELECT array_to_string(list_filter(regexp_split_to_array(p_name || ' ' || p_partkey, '\\s+'), lambda w: length(w) > 1
  AND w NOT IN ({', '.join("'" + w + "'" for w in G.STOPWORDS)})), ' ') AS group_key, p_name || ' ' || p_partkey AS name, p_brand AS brand, p_type AS category, {SOURCE} AS source,
- {KIND} AS price_type, l_extendedprice AS price, (l_orderkey, l_linenumber, l_suppkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+ {KIND} AS price_type, l_extendedprice AS price, {POINT_URL} AS url, CASE WHEN l_linenumber > 1 THEN l_linenumber * 6 END AS installments, (l_orderkey, l_linenumber, l_suppkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _pick(col):
@@ -252,7 +270,14 @@ def _delta(c, b):
     return r2(f"({c} - nullif({b}, 0)) / nullif({b}, 0) * CAST(100.0 AS DOUBLE)", "10.0") + f" AS {c}_delta"
 
 
-_WIDE = _PP + f""", w AS (SELECT group_key, {_pick('name')}, {_pick('brand')}, {_pick('category')}, {_PRICES} FROM pp GROUP BY group_key),
+def _cheapest(col, source, kind):
+    return f"arg_min_null({col}, (price, o)) FILTER (source = '{source}' AND price_type = '{kind}' AND price IS NOT NULL)"
+
+
+_URLS = ", ".join(f"{_cheapest('url', s, 'renting')} AS {s}_url" for s in ("rentik", "grover", "movistar"))
+_HOME = f"{_cheapest('url', 'home_store', 'renting')} AS ru, {_cheapest('url', 'home_store', 'purchase')} AS pu, {_cheapest('o', 'home_store', 'renting')} AS ro, {_cheapest('o', 'home_store', 'purchase')} AS po, {_cheapest('installments', 'home_store', 'renting')} AS home_instalments"
+_WIDE = _PP + f""", w0 AS (SELECT group_key, {_pick('name')}, {_pick('brand')}, {_pick('category')}, {_PRICES}, {_URLS}, {_HOME} FROM pp GROUP BY group_key),
+ w AS (SELECT * EXCLUDE (ru, pu, ro, po), CASE WHEN po IS NULL OR ro > po THEN ru ELSE pu END AS home_url FROM w0),
  wide AS (SELECT *, {_delta('rentik_renting', 'home_renting')}, {_delta('grover_renting', 'home_renting')}, {_delta('movistar_renting', 'home_renting')},
  {_delta('amazon_purchase', 'home_purchase')}, {_delta('mediamarkt_purchase', 'home_purchase')} FROM w)"""
 _LOW = "least(amazon_purchase, mediamarkt_purchase, rentik_renting, grover_renting)"
@@ -347,6 +372,10 @@ ORACLE = {
  a AS (SELECT query_id, p_capacity, count(*) FILTER (good) AS n_good, count(DISTINCT capacity_gb) FILTER (good) AS n_sizes, min(price) FILTER (good) AS bp, count(title) AS n FROM g GROUP BY ALL),
  t AS (SELECT *, CASE WHEN p_capacity IS NULL AND n_sizes > 1 THEN 'needs_clarification' WHEN n_good > 0 THEN 'completed' WHEN n > 0 THEN 'needs_clarification' ELSE 'not_found' END AS status FROM a)
  SELECT query_id, status, n_good, n_sizes, CASE WHEN status = 'completed' THEN bp END AS best_price FROM t"""),
+    "l7_focus": f"""WITH t AS (SELECT DISTINCT 'Samsung' AS brand, replace({TITLE}, 'Galaxy S2', 'Galaxy S 2') AS name FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT DISTINCT 'Apple', {FOCUS_TITLE} FROM part),
+ d AS (SELECT *, {FOCUS_DEVICE} AS device FROM t) SELECT brand, name, device, device <> 'tablet' AND CASE brand WHEN 'Apple' THEN regexp_matches(lower(name), '\\biphone\\s*17\\b|\\biphone\\s+air\\b')
+ ELSE regexp_matches(lower(name), '\\bs\\s*25\\b') END AS focus, regexp_matches(lower(name), {_any(X.SECOND_HAND)}) AS second_hand,
+ regexp_matches(lower(name), {_any(X.ACCESSORY_WORDS)}) OR regexp_matches(lower(name), '\\b(?:for|para)\\s+(?:iphone|ipad|mac(?:book| mini)?|imac|galaxy|samsung)\\b') AS accessory FROM d""",
     "l8_marketplace": "SELECT l_partkey, bool_or(l_suppkey % 7 = 0) AS marketplace FROM lineitem GROUP BY 1",
     "f4a_targets_for_page": S.page_targets(PAGE_URL, PAGE_MODEL),
     "a22_comparison_wide": _WIDE + " SELECT * FROM wide",
