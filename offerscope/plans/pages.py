@@ -91,32 +91,75 @@ def _loose(x):
     return num(f"replace({x}, ',', '.')")
 
 
-def _rule_sql(rule: E.Rule) -> str:
-    body = "text"
-    if rule.after:
-        body = f"CASE WHEN contains(f, '{rule.after}') THEN substr(text, strpos(f, '{rule.after}'), {rule.window}) END"
-    raw = _x(rule.pattern, rule.price, body)
-    value = _loose(raw) if rule.loose else spanish(raw)
-    term = "NULL"
-    if rule.term:
-        term = _x(rule.pattern, rule.term, body)
-    elif rule.term_pattern:
-        term = f"coalesce({_x(rule.term_pattern, 1, body)}, {_x(E.TERM, 1, body)})"
-    term = f"CAST({term} AS INT)"
-    if rule.default_term:
-        term = f"coalesce({term}, {rule.default_term})"
-    return f"SELECT page_id, retailer, '{rule.offer_type}' AS offer_type, {value} AS price, {term} AS term_months, {rule.minimum}::DOUBLE AS floor_, "
+_EUR = "\\s*(?:€|eur)"
+_ANY = "(?i)(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)"
+_MONTHLY = _ANY + "\\s*/?\\s*mes"
+_SOLID = "(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*€"
+_MONTHS = "(?i)(\\d{1,2})\\s*mes(?:es)?"
+_PART = "(\\d{1,4}(?:[.,]\\d{1,2})?)"
+
+
+def _behind(word, size):
+    return f"CASE WHEN contains(f, '{word}') THEN substr(text, strpos(f, '{word}'), {size}) END"
+
+
+def _around(word):
+    at = f"strpos(f, '{word}')"
+    return _x(_MONTHS, 1, f"CASE WHEN {at} > 0 THEN substr(text, greatest({at} - 80, 1), {at} + 180 - greatest({at} - 80, 1)) END")
 
 
 def e2_sql() -> str:
-    parts_ = []
-    for retailer, slots in E._slots(E.RULES).items():
-        for slot, alt in slots.items():
-            for rank, rule in enumerate(alt):
-                parts_.append(_rule_sql(rule) + f"'{slot}' AS slot, {rank} AS rank FROM pg WHERE retailer = '{retailer}'")
-    return TEXTS + ", hits AS (" + " UNION ALL ".join(parts_) + """), ok AS (SELECT * FROM hits WHERE price > 0 AND price >= floor_
- QUALIFY row_number() OVER (PARTITION BY page_id, slot ORDER BY rank) = 1) SELECT DISTINCT page_id, retailer, offer_type, price, term_months,
- CASE WHEN offer_type = 'cash' THEN 'EUR' ELSE 'EUR/month' END AS price_unit FROM ok"""
+    """Every retailer's wordings written out; within a slot the first that gives a price counts."""
+    pack = lambda word: (_x("(?i)(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)\\s*/\\s*mes", 1, _behind(word, 420)),
+                         f"coalesce({_x('(?i)x\\s*(\\d{1,2})\\s*mes(?:es)?', 1, _behind(word, 420))}, {_x(_MONTHS, 1, _behind(word, 420))})")
+    months = _x(_MONTHS, 1, "text")
+    rentik = f"coalesce({_around('renting')}, {_around('meses')})"
+    plan, cash, rent, bare = "financing_max_term", "cash", "renting_with_insurance", "renting_no_insurance"
+    instalments = "(?i)en\\s*(\\d{1,2})\\s*cuotas[^\\d]{0,40}(\\d{1,5}(?:[.,]\\d{1,2})?)\\s*(?:€|eur)\\s*(?:mensual|mes)"
+    financed = "(?i)(?:financi(?:a|acion)|cuotas?)[^\\d]{0,80}(\\d{1,2})\\s*(?:cuotas?|mes(?:es)?)[^\\d]{0,40}(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)"
+    bought = "(?i)(?:compr(?:a|alo|arlo)|quedatelo|al contado|precio de compra)[^\\d]{0,120}(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)"
+    today, monthly_parts = f"(?i){_PART}\\s*€\\s*hoy\\s*y\\s*{_PART}\\s*€\\s*/\\s*mes\\s*en\\s*(\\d{{1,2}})\\s*plazos", f"(?i){_PART}\\s*€\\s*/\\s*mes\\s*en\\s*(\\d{{1,2}})\\s*plazos"
+    cetelem = "(?i)(?:financi(?:a|acion)|cuotas?|cetelem)[^\\d]{0,80}(\\d{1,2})\\s*(?:mes(?:es)?|cuotas?)[^\\d]{0,60}(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)\\s*/?\\s*mes"
+    during = "(?i)(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)\\s*/?\\s*mes[^\\d]{0,80}(?:x|durante|en)\\s*(\\d{1,2})\\s*(?:mes(?:es)?|cuotas?)"
+    outright = "(?i)(?:\\bo\\b|\\bcontado\\b|\\bal contado\\b)[^\\d]{0,20}(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)"
+    listed = "(?i)(?:\\bpvp\\b|\\bpvpr\\b|precio\\s+(?:de\\s+venta\\s+al\\s+publico\\s+)?recomendado)[^\\d]{0,35}(\\d{1,5}(?:[.\\s]\\d{3})*(?:,\\d{1,2})?)\\s*(?:€|eur)"
+    # retailer, slot, kind, price as text, term as text, least price, whether a lone dot is a decimal mark
+    wordings = [
+        ("Media Markt", 1, cash, _x(_ANY, 1, "text"), "NULL", 100, False), ("Media Markt", 2, plan, _x(instalments, 2, "text"), _x(instalments, 1, "text"), 0, False),
+        ("Rentik", 1, rent, _x(_MONTHLY, 1, _behind("tu rentik desde", 260)), rentik, 0, False), ("Rentik", 1, rent, _x(_MONTHLY, 1, "text"), rentik, 0, False),
+        ("Rentik", 2, bare, _x(_SOLID, 1, _behind("sin seguro", 500)), "NULL", 0, False),
+        ("Grover", 1, rent, _x(_MONTHLY, 1, "text"), months, 0, False), ("Grover", 2, plan, _x(financed, 2, "text"), _x(financed, 1, "text"), 0, False), ("Grover", 3, cash, _x(bought, 1, "text"), "NULL", 0, False),
+        ("Grover", 4, bare, _x(_SOLID, 1, _behind("sin grover care", 500)), "NULL", 0, False), ("Grover", 4, bare, _x(_SOLID, 1, _behind("sin seguro", 500)), "NULL", 0, False),
+        ("PcComponentes", 1, plan, _x(today, 2, "text"), _x(today, 3, "text"), 0, True), ("PcComponentes", 1, plan, _x(monthly_parts, 1, "text"), _x(monthly_parts, 2, "text"), 0, True),
+        ("PcComponentes", 1, plan, _x(f"(?i)financiado\\s+desde\\s+{_PART}\\s*€\\s*/\\s*mes", 1, "text"), "NULL", 0, True),
+        ("Movistar", 1, plan, *pack("anadelo a tu pack"), 0, False), ("Movistar", 1, plan, *pack("con tu pack desde"), 0, False),
+        ("Fnac", 1, plan, _x(cetelem, 2, "text"), _x(cetelem, 1, "text"), 0, False), ("Fnac", 1, plan, _x(during, 1, "text"), _x(during, 2, "text"), 0, False), ("Fnac", 2, cash, _x(_ANY, 1, "text"), "NULL", 0, False),
+        ("Samsung Oficial", 1, plan, _x(_MONTHLY, 1, "text"), f"coalesce({months}, '36')", 0, False), ("Samsung Oficial", 2, cash, _x(outright, 1, "text"), "NULL", 0, False), ("Samsung Oficial", 2, cash, _x(listed, 1, "text"), "NULL", 100, False),
+    ]
+    hits = " UNION ALL ".join(
+        f"SELECT page_id, retailer, '{kind}' AS offer_type, {_loose(price) if loose else spanish(price)} AS price, CAST({term} AS INT) AS term_months, {least} AS least, {slot} AS slot, {rank} AS rank FROM pg WHERE retailer = '{shop}'"
+        for rank, (shop, slot, kind, price, term, least, loose) in enumerate(wordings))
+    return TEXTS + f""", hits AS ({hits}), ok AS (SELECT * FROM hits WHERE price > 0 AND price >= least QUALIFY row_number() OVER (PARTITION BY page_id, slot ORDER BY rank) = 1)
+ SELECT DISTINCT page_id, retailer, offer_type, price, term_months, CASE WHEN offer_type = 'cash' THEN 'EUR' ELSE 'EUR/month' END AS price_unit FROM ok"""
+
+
+TEASER = f"""'Ficha  En 9 cuotas 1 € Mensual ' || CASE l_linenumber WHEN 1 THEN 'Financiación 0% En 12 cuotas ' || {WHOLE} || ',– € Mensual Simula tu financiación' WHEN 2 THEN 'Financiacion En  24
+ cuotas de ' || {WHOLE} || ',50 eur mensual Puntos miMediaMarkt' WHEN 3 THEN 'Financiación sin cuotas. Color (por fabricante) negro' WHEN 4 THEN 'En 18 cuotas ' || {WHOLE} || ',-- € Mensual' ELSE 'sin plan' END"""
+
+
+def e2_teaser(spark, sf):
+    rows = spread(read_table(spark, sf, "lineitem")).select(F.expr(TEASER).alias("text")).distinct()
+    return E.teaser_offers(rows.withColumn("page_id", F.md5("text")))
+
+
+def e2_teaser_sql() -> str:
+    section = "(?i)Financiaci[oó]n(.*?)(?:Simula tu financiaci[oó]n|Puntos miMediaMarkt|Color \\(por fabricante\\)|Seleccione una oferta)"
+    price = "regexp_extract(b, '(?i)(\\d{1,5}(?:[.,][\\d–-]{1,2})?)\\s*(?:€|eur)\\s*Mensual', 1)"
+    value = f"replace(regexp_replace({price}, ',\\s*[–-]+', ',00', 'g'), '–', '00')"
+    return f"""WITH t AS (SELECT DISTINCT {TEASER} AS text FROM lineitem), p AS (SELECT md5(text) AS page_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain FROM t),
+ s AS (SELECT page_id, coalesce(nullif(regexp_extract(plain, '{section}', 1), ''), plain) AS b FROM p),
+ o AS (SELECT page_id, 'financing_max_term' AS offer_type, {spanish(value)} AS price, CAST(nullif(regexp_extract(b, '(?i)En\\s+(\\d{{1,2}})\\s+cuotas', 1), '') AS INT) AS term_months FROM s)
+ SELECT * FROM o WHERE price IS NOT NULL AND term_months IS NOT NULL"""
 
 
 def _near(word):
@@ -236,6 +279,7 @@ def e10(spark, sf):
 QUERIES = {
     "e1_keyword_offers": lambda spark, sf: E.keyword_offers(texts(spark, sf)),
     "e2_rule_offers": lambda spark, sf: E.extract_offers(texts(spark, sf)),
+    "e2_teaser": e2_teaser,
     "e2_uninsured": lambda spark, sf: E.extract_offers(texts(spark, sf).withColumn("retailer", F.lit("")), E.BASE_RULES).drop("retailer"),
     "e3_capacity_offers": lambda spark, sf: E.capacity_offers(texts(spark, sf)),
     "e4_full_prices": e4,
@@ -273,6 +317,7 @@ ORACLE = {
     "e1_keyword_offers": e1_sql(),
     "e4_full_prices": e4_sql(),
     "e11_records": e11_sql(),
+    "e2_teaser": e2_teaser_sql(),
     "e2_rule_offers": e2_sql(),
     "e2_uninsured": TEXTS + f""" SELECT page_id, 'renting_no_insurance' AS offer_type, {spanish(_x(E.UNINSURED, 1, 'text'))} AS price, 36 AS term_months,
  'EUR/month' AS price_unit FROM (SELECT DISTINCT page_id, text FROM pg) WHERE {spanish(_x(E.UNINSURED, 1, 'text'))} > 0""",

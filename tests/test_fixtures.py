@@ -449,3 +449,13 @@ def test_similarity_chain_settles(spark):
     edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(0, 5)], "a string, b string")
     got = {r.id: r.leader for r in leaders(keys, edges).collect()}
     assert len(got) == n and got["0001"] == "0000" and got["0004"] == "0004"
+
+
+def test_rentik_term_stands_near_its_word(spark):
+    from offerscope.operators.extract import extract_offers
+
+    gap = "x" * 200
+    texts = {"Garantia 12 meses. Tu Rentik desde 20 €/mes. " + gap + " renting a 36 meses": 36, "Tu Rentik desde 20 €/mes durante 24 meses": 24, "20 €/mes renting " + gap + " 48 meses": 48, "20 €/mes": None}
+    pages = spark.createDataFrame([(i, "Rentik", t) for i, t in enumerate(texts)], "page_id int, retailer string, text string")
+    got = {r.page_id: (r.price, r.term_months) for r in extract_offers(pages).collect()}
+    assert got == {i: (20.0, term) for i, term in enumerate(texts.values())}
