@@ -284,5 +284,7 @@ def accept_candidates(df: DataFrame) -> DataFrame:
         return " AND ".join(parts)
 
     accepted = "CASE retailer " + " ".join(f"WHEN {_quoted(name)} THEN {decision(rule)}" for name, rule in RULES.items()) + " ELSE false END"
-    return wide.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.expr(accepted), F.lit(False)).alias("accepted"))
+    # a generator, so that a filter on the decision is not pushed below the columns that it is made of
+    decided = F.explode(F.array(F.coalesce(F.expr(accepted), F.lit(False))))
+    return wide.select(*(F.col(f"`{c}`") for c in columns), decided.alias("accepted"))
 

@@ -19,14 +19,19 @@ QUALITY_KEY = ("brand", "retailer", "device_type", "model", "capacity_gb", "offe
 
 
 def first_per_key(df: DataFrame, keys: list, order: list, limit: int = 1) -> DataFrame:
-    """The first ``limit`` rows per key in the given order; keys may be expressions."""
+    """The first ``limit`` rows per key in the given order; keys may be expressions.
+
+    Rows of several keys are sorted by a hash of the key first, which tells nearly all keys apart in one
+    comparison of numbers; the key itself still decides.
+    """
     named = {f"_k{i}": (F.col(k) if isinstance(k, str) else k) for i, k in enumerate(keys)}
-    window = Window.partitionBy(*named).orderBy(*order)
+    hashed = {"_kh": F.xxhash64(*named)} if len(named) > 1 else {}
+    window = Window.partitionBy(*hashed, *named).orderBy(*order)
     return (
-        df.withColumns(named)
+        df.withColumns(named).withColumns(hashed)
         .withColumn("_rn", F.row_number().over(window))
         .where(F.col("_rn") <= limit)
-        .drop("_rn", *named)
+        .drop("_rn", *named, *hashed)
     )
 
 

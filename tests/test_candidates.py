@@ -63,6 +63,8 @@ def test_nulls_decide_against(spark):
 
 @pytest.mark.parametrize("bytes_", [100_000])
 def test_plan_is_small(spark, bytes_):
-    plan = accept_candidates(rows(spark, CASES))._jdf.queryExecution().toString()
-    physical = plan[plan.index("== Physical Plan =="):]
-    assert len(physical) < bytes_
+    decided = accept_candidates(rows(spark, CASES))
+    for df in (decided, decided.where("accepted")):
+        plan = df._jdf.queryExecution().toString()
+        assert len(plan[plan.index("== Physical Plan =="):]) < bytes_
+    assert decided.where("accepted").count() == sum(c[-1] for c in CASES)

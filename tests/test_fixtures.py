@@ -438,7 +438,8 @@ def test_capacity_decides_only_where_a_retailer_requires_it(spark):
     rows = [(n, "Samsung", "Galaxy S25", 256, "mobile", None, f"Samsung Galaxy S25 {size} GB movil", h, None, None, size) for n, h in hrefs.items() for size in (256, 512)]
     df = spark.createDataFrame(rows, "retailer string, brand string, model string, capacity_gb int, device_type string, product_code string, text string, href string, title string, body string, size int")
     got = accept_candidates(df).where("accepted").collect()
-    assert sorted((r.retailer, r.size) for r in got) == sorted((n, s) for n in hrefs for s in (256, 512) if s == 256 or n not in ("Amazon", "Grover"))
+    # at Samsung another size takes three points: brand, line and one model word (four) are then too few
+    assert sorted((r.retailer, r.size) for r in got) == sorted((n, s) for n in hrefs for s in (256, 512) if s == 256 or n not in ("Amazon", "Grover", "Samsung Oficial"))
 
 
 def test_similarity_chain_settles(spark):
