@@ -152,7 +152,8 @@ def longest_contained(questions: DataFrame, names: DataFrame, text: str, name: s
     ``names`` holds the candidate names in its only column. Texts and names meet by one gram per name, the one
     that fewest texts hold (eight characters, or the whole name if shorter); a name with a gram that no text
     holds meets none. So endings or beginnings that many names share are no keys. Texts count once, however many
-    questions ask the same.
+    questions ask the same. The grams are many times as large as the tables that they come from, whose size is all
+    that the planner knows: the joins are told to shuffle, or the grams would go through the driver as a broadcast.
     """
     label = F.col(names.columns[0])
     n = names.select(label.alias("_name"), normalize_text(label).alias("_norm")).distinct().where("_norm <> ''")
@@ -165,19 +166,19 @@ def longest_contained(questions: DataFrame, names: DataFrame, text: str, name: s
     parts = [F.when(F.length("_q") >= size, _pieces("_q", size)).otherwise(F.array().cast("array<string>")) for size in sizes]
     held = texts.select("_q", F.explode(F.array_distinct(F.concat(whole, *parts))).alias("_gram"))
     heat = held.groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = n.select("_name", "_norm", "_count", F.explode("_own").alias("_gram")).join(heat, "_gram").groupBy("_name", "_norm", "_count").agg(
+    rarest = n.select("_name", "_norm", "_count", F.explode("_own").alias("_gram")).hint("merge").join(heat, "_gram").groupBy("_name", "_norm", "_count").agg(
         F.count("*").alias("_met"), F.min(F.struct("_n", "_gram")).alias("_least"))
     keyed = rarest.where("_met = _count").select("_name", "_norm", F.col("_least._gram").alias("_gram"))
-    hits = held.join(keyed, "_gram").where(F.col("_q").contains(F.col("_norm")))
+    hits = held.hint("merge").join(keyed, "_gram").where(F.col("_q").contains(F.col("_norm")))
     best = first_per_key(hits.select("_q", "_name"), ["_q"], [F.length("_name").desc(), F.col("_name").asc()])
-    return questions.join(best.select(F.col("_q").alias(text), F.col("_name").alias(name)), text, "left").select(*questions.columns, name)
+    return questions.hint("merge").join(best.select(F.col("_q").alias(text), F.col("_name").alias(name)), text, "left").select(*questions.columns, name)
 
 
 def scope(offers: DataFrame, questions: DataFrame) -> DataFrame:
     """Offers in the scope of each question (model known, capacity and modalities optional)."""
     q = questions.alias("q")
     o = offers.alias("o")
-    joined = o.join(q, F.col("o.model") == F.col("q.q_model"))
+    joined = o.hint("merge").join(q, F.col("o.model") == F.col("q.q_model"))
     cap_ok = F.col("q.q_capacity").isNull() | (F.col("o.capacity_gb") == F.col("q.q_capacity"))
     mod_ok = (F.col("q.q_modalities") == "") | F.array_contains(
         F.split("q.q_modalities", ","), F.col("o.offer_type"))

@@ -30,6 +30,11 @@ def test_no_cross_joins(name, spark, sf):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_grams_are_never_broadcast(spark, sf):
+    """The planner takes exploded grams for as small as the table that they come from."""
+    assert "Broadcast" not in plan_of(plans.queries()["h7_question_names"](spark, sf))
+
+
 @pytest.mark.parametrize("name", ["j1_dedupe_quality", "j2_dedupe_cheapest", "q1_latest_rows", "q3_validation_sample", "w9_interleave"])
 def test_groups_are_cut_before_the_shuffle(name, spark, sf):
     text = plan_of(plans.queries()[name](spark, sf))
