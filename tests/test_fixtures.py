@@ -473,3 +473,17 @@ def test_page_prices_fold_the_text_once(spark):
     assert got[0].n == "financiacion en cuotas: 30,99 fin 12 al contado 1.200"
     plan = p_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 200_000 and plan.count("AS folded") == 1
+
+
+def test_written_parts_are_small_and_packed(spark, tmp_path, monkeypatch):
+    """A part with quoted line breaks is read by one task: its rows are bounded, and text is compressed."""
+    from offerscope.sources import offers as IN
+    from offerscope.sources import sinks as OUT
+
+    monkeypatch.setitem(OUT.PACKED, "maxRecordsPerFile", 10)
+    rows = spark.range(25).coalesce(1).select(*[F.lit('a "b"\nc').alias(c) if c == "source_title" else F.col("id").cast("string").alias(c) for c in fixed.CANONICAL_COLUMNS])
+    OUT.write_records(rows, str(tmp_path / "r"))
+    for kind in ("csv", "json"):
+        assert len(list((tmp_path / "r" / kind).glob(f"part-*.{kind}.gz"))) == 3
+    back = IN.read_csv_text(spark, str(tmp_path / "r" / "csv"))
+    assert back.count() == 25 and back.where("source_title = 'a \"b\"\nc'").count() == 25
