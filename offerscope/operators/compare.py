@@ -6,7 +6,7 @@ third of all rows is split by the skew-join rule instead of landing in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerscope import fixed
@@ -14,6 +14,7 @@ from offerscope.functions.numbers import diff_from, mean_of, pct_from, round_hal
 from offerscope.functions.text import normalize_text, text_or_empty
 from offerscope.operators.canonical import is_base, modality_label, modality_order
 from offerscope.operators.joins import join_null_safe
+from offerscope.session import shared_dir
 
 PAIR = ["model", "capacity_gb", "offer_type"]
 SKU = ["model", "capacity_gb"]
@@ -135,6 +136,21 @@ def alert_counts(alert_rows: DataFrame, by: str) -> DataFrame:
     return alert_rows.groupBy(by).agg(F.count("*").alias("n"))
 
 
+def _audit_keys(ignore_term: bool) -> dict[str, Column]:
+    keys = ["brand", "model", "capacity_gb", "offer_type"] + ([] if ignore_term else ["term_months"])
+    return {f"j_{k}": F.trim(text_or_empty(F.col(k))) for k in keys}
+
+
+def beside_base(offers: DataFrame, base: str = fixed.DEFAULT_BASE, ignore_term: bool = False) -> DataFrame:
+    """The rows of products that the base retailer has too: all that an audit can compare, before the latest of them are
+    looked for. The base's products are written out, so that the planner knows their size."""
+    keys = _audit_keys(ignore_term)
+    path = shared_dir(offers.sparkSession, "audited")
+    offers.where(F.trim("retailer") == base).select(*[c.alias(k) for k, c in keys.items()]).distinct().write.parquet(path)
+    ours = offers.sparkSession.read.parquet(path)
+    return offers.withColumns(keys).join(ours, list(keys), "left_semi").drop(*keys)
+
+
 def audit(
     latest: DataFrame,
     base: str = fixed.DEFAULT_BASE,
@@ -145,10 +161,8 @@ def audit(
 
     When ignoring terms gives several base rows per key, the last to arrive is the reference.
     """
-    keys = ["brand", "model", "capacity_gb", "offer_type"] + ([] if ignore_term else ["term_months"])
-    trimmed = [F.trim(text_or_empty(F.col(k))).alias(f"j_{k}") for k in keys]
-    rows = latest.select("*", *trimmed)
-    jkeys = [f"j_{k}" for k in keys]
+    trimmed = _audit_keys(ignore_term)
+    rows, jkeys = latest.withColumns(trimmed), list(trimmed)
     ours = rows.where(F.trim("retailer") == base)
     ref = ours.groupBy(*jkeys).agg(
         F.max_by(F.struct("price_value", "extracted_at", "source_url"), "_ord").alias("ref")

@@ -71,7 +71,7 @@ ALERT_COLS = "model, capacity_gb, offer_type, retailer, diff_pct_vs_base AS pct,
 
 
 def audit(o, ignore=False):
-    return C.audit(latest_rows(o), ignore_term=ignore)
+    return C.audit(latest_rows(C.beside_base(o, ignore_term=ignore)), ignore_term=ignore)
 
 
 KEY6 = "retailer, brand, model, capacity_gb, offer_type, term_months"
