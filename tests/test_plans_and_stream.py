@@ -91,3 +91,26 @@ def test_stream_merges_batch_by_batch(spark, sf, tmp_path):
     assert v0.count() == dedupe_by_quality(first).where(F.col("retailer").isin(*kept)).count()
     assert v1.count() >= v0.count() * 0.5
     assert v1.where("extracted_at >= '1999-01'").count() > 0
+
+
+def test_audit_looks_at_the_base_products_alone(spark):
+    """Other products leave before the latest rows are looked for; blanks around a key still mean the same product."""
+    rows = [("Home Store", "a", "m1", None, "cash", None, 100, "2020-01-01", 1), (" Home Store", " a", "m1 ", None, "cash", None, 90, "2019-01-01", 2),
+            ("Amazon", "a ", "m1", None, "cash", None, 200, "2020-01-01", 3), ("Amazon", "a", "m1", None, "cash", None, 95, "2021-01-01", 4),
+            ("Fnac", "a", "m1", None, "cash", 12, 300, "2020-01-01", 5), ("Fnac", "a", "m2", 64, "cash", None, 300, "2020-01-01", 6),
+            ("Fnac", None, "m1", None, "cash", None, 300, "2020-01-01", 7), ("Orange", "a", "m1", None, "cash", None, 10, "2020-01-01", 8)]
+    o = spark.createDataFrame([(*r[:6], float(r[6]), *r[7:], "url") for r in rows],
+                              "retailer string, brand string, model string, capacity_gb int, offer_type string, term_months int, price_value double, extracted_at string, _ord long, source_url string")
+    for ignore, kept in ((False, [1, 2, 3, 4, 8]), (True, [1, 2, 3, 4, 5, 8])):
+        beside = market.C.beside_base(o, ignore_term=ignore)
+        assert beside.columns == o.columns and sorted(r._ord for r in beside.collect()) == kept
+        whole = market.C.audit(market.latest_rows(o), ignore_term=ignore).collect()
+        assert whole and sorted(map(str, market.audit(o, ignore).collect())) == sorted(map(str, whole))
+
+
+def test_product_keys_are_worked_out_before_the_join(spark, sf):
+    """Once per product, not for each of its prices."""
+    from offerscope.plans.matching import price_points
+
+    text = price_points(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "iphone" in text[text.index("Join"):] and "iphone" not in text[:text.index("Join")]
