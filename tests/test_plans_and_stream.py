@@ -114,3 +114,9 @@ def test_product_keys_are_worked_out_before_the_join(spark, sf):
 
     text = price_points(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "iphone" in text[text.index("Join"):] and "iphone" not in text[:text.index("Join")]
+
+
+def test_names_are_cleaned_once(spark, sf):
+    """The clean name is one column of the plan, whatever reads it."""
+    text = plans.queries()["f0_f4b_name_features"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("^(apple|samsung)") == 1
