@@ -135,3 +135,28 @@ def test_seeds_spelled_alike_meet_before_the_first_cut(spark):
     assert text.index("Window ") < text.index("RebalancePartitions")
     assert "_k" in text and "AS _k2" not in text
     assert " AS _k0" not in first_per_key(seeds, ["model"], [F.col("_ord").asc()])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sample_takes_the_first_distinct_of_every_task(spark):
+    """A retailer's offers are dealt to tasks and moved whole only once; the result is that of one ordered walk over all of them."""
+    import random
+
+    from offerscope.fixed import VALIDATION_PRIORITY
+    from offerscope.operators.ordering import validation_sample
+
+    pick = random.Random(3)
+    kinds = [*VALIDATION_PRIORITY, "Cash", "other"]
+    rows = [(pick.choice(["A", "B", None]), pick.choice(kinds), pick.choice(["x", "X", " x", "y"]), pick.choice([None, 0, 64]), pick.choice([None, 6]), pick.choice(["u", None]), i)
+            for i in range(300)] + [("hot", "cash", pick.choice(["m", "M "]), 64, None, "u", i) for i in range(300, 500)]
+    offers_ = spark.createDataFrame(rows, "retailer string, offer_type string, model string, capacity_gb int, term_months int, source_url string, _ord long")
+    expected, seen, taken = [], set(), {}
+    for r in sorted(rows, key=lambda r: (VALIDATION_PRIORITY.get(r[1], 9), r[2], r[3] or 0, r[6])):
+        key = (r[0], r[2].strip().lower(), r[3], r[1].strip().lower(), r[4], r[5])
+        if key not in seen and taken.get(r[0], 0) < 3:
+            expected.append(r[6])
+            taken[r[0]] = taken.get(r[0], 0) + 1
+        seen.add(key)
+    found = validation_sample(offers_, 3)
+    assert found.columns == offers_.columns and sorted(r._ord for r in found.collect()) == sorted(expected)
+    text = plan_of(validation_sample(offers_, 3)).split("(1) ")[0]
+    assert text.count("Exchange") == 3 and "WindowGroupLimit" not in text[text.rindex("Exchange"):]
