@@ -56,6 +56,18 @@ def test_gate_runs_in_generated_code(spark, sf):
     assert "codegen id" in text and "PythonUDF" not in text and "lambdafunction" not in text
 
 
+@pytest.mark.parametrize("name", ["e2_teaser", "g_reason_counts", "j1_dedupe_quality", "l6_publishable", "n2_canonicalize", "p9_first_and_keyword_price"])
+def test_generated_methods_are_compiled(name, spark, sf):
+    """The virtual machine interprets methods of more than 8,000 bytes, however often they run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert stages.size() > 0 and max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+
+
 def test_hot_key_is_not_gathered(spark, sf):
     """With a third of all rows under one key, no task after the shuffle sees that third."""
     hot = offers(spark, sf).withColumn("model", F.when(F.col("term_months").isNull(), "hot").otherwise(F.col("model")))
