@@ -487,3 +487,18 @@ def test_written_parts_are_small_and_packed(spark, tmp_path, monkeypatch):
         assert len(list((tmp_path / "r" / kind).glob(f"part-*.{kind}.gz"))) == 3
     back = IN.read_csv_text(spark, str(tmp_path / "r" / "csv"))
     assert back.count() == 25 and back.where("source_title = 'a \"b\"\nc'").count() == 25
+
+
+def test_live_check_by_cells(spark):
+    """Against every pair of a row and a live price; the rows are not moved by their id, nor once per neighbouring cell."""
+    prices = [None, 9.2, 9.9, 10.0, 10.4, 10.9, 11.0, 11.1, 12.05, 99.0]
+    rows = [(i, f"p{i % 2}", "cash" if i % 3 else "Cash ", (None, 6, 12)[i % 3], p) for i, p in enumerate(prices * 3)] + [(90, None, "cash", 6, 10.0), (91, "p1", None, 6, 10.0)]
+    live = [("p0", "cash", 6, 10.05), ("p0", "cash", 12, 12.1), ("p1", "cash", None, 8.95), ("p1", "CASH", 6, 11.9), ("p1", "cash", 6, None), (None, "cash", None, 10.0), ("p0", "cash", 6, float("nan"))]
+    kinds = "product string, offer_type string, term_months int, price_value double"
+    fold = lambda text: (text or "").strip().lower()
+    fits = lambda r, v: (r[1] is not None and r[1] == v[0] and fold(r[2]) == fold(v[1]) and r[4] is not None and v[3] is not None and abs(r[4] - v[3]) <= 1.0
+                         and (r[3] is None or v[2] is None or r[3] == v[2]))
+    out = V.check_live(spark.createDataFrame(rows, f"row_id int, {kinds}"), spark.createDataFrame(live, kinds))
+    assert {r.row_id: r.matched for r in out.toLocalIterator()} == {r[0]: any(fits(r, v) for v in live) for r in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_id" not in plan and "hashpartitioning(knownfloatingpointnormalized" not in plan
