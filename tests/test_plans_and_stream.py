@@ -68,6 +68,12 @@ def test_generated_methods_are_compiled(name, spark, sf):
     assert stages.size() > 0 and max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
 
 
+@pytest.mark.parametrize("name", ["j4_slice_replacement", "j5_validated_merge"])
+def test_existing_rows_are_not_moved_by_the_slice(name, spark, sf):
+    """The few selected keys are known before the merge is planned, and come to the existing rows."""
+    assert not re.search(r"hashpartitioning\([^)]*k_model", plan_of(plans.queries()[name](spark, sf)))
+
+
 def test_hot_key_is_not_gathered(spark, sf):
     """With a third of all rows under one key, no task after the shuffle sees that third."""
     hot = offers(spark, sf).withColumn("model", F.when(F.col("term_months").isNull(), "hot").otherwise(F.col("model")))
