@@ -56,7 +56,7 @@ def test_gate_runs_in_generated_code(spark, sf):
     assert "codegen id" in text and "PythonUDF" not in text and "lambdafunction" not in text
 
 
-@pytest.mark.parametrize("name", ["e2_teaser", "g_reason_counts", "j1_dedupe_quality", "l6_publishable", "n2_canonicalize", "p9_first_and_keyword_price"])
+@pytest.mark.parametrize("name", ["e2_teaser", "f15_search_cards", "g_reason_counts", "j1_dedupe_quality", "l6_publishable", "n2_canonicalize", "p9_first_and_keyword_price"])
 def test_generated_methods_are_compiled(name, spark, sf):
     """The virtual machine interprets methods of more than 8,000 bytes, however often they run."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -74,6 +74,12 @@ def test_existing_rows_are_not_moved_by_the_slice(name, spark, sf):
     assert not re.search(r"hashpartitioning\([^)]*k_model", plan_of(plans.queries()[name](spark, sf)))
 
 
+def test_cards_are_not_judged_inside_the_join(spark, sf):
+    """There the condition would clean both names for each family and variant."""
+    text = plan_of(plans.queries()["f15_search_cards"](spark, sf))
+    assert text.count("promotion") < 10
+
+
 def test_hot_key_is_not_gathered(spark, sf):
     """With a third of all rows under one key, no task after the shuffle sees that third."""
     hot = offers(spark, sf).withColumn("model", F.when(F.col("term_months").isNull(), "hot").otherwise(F.col("model")))
